@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrain.llm import canonical, oversized, survivor
+from coursegrain.llm import canonical, encoding, leakage, oversized, survivor
 from coursegrain.sources.tables import table
 
 FACTS = ("course_code", "module_number", "fact_id", "fact_row", "statement", "method", "extracted_at", "slides")
@@ -47,6 +47,25 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_report(table(spark, d, "triples", "relation"), "relation", _forms(spark, d))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that come back from their ids, with the number of tokens of each."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    back = encoding.decoded(encoding.encoded(docs, "doc_id", "text"), "doc_id", "ids")
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_pairs(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
 P1_RULES = r"""
 rows AS (
   SELECT course_code, module_number, lower(trim(fact_id)) AS fact_key, fact_row, extracted_at, slides, kind, topic,
@@ -99,5 +118,24 @@ variants AS (
 P5_SQL = f"WITH {_P5_NEAR} SELECT triple_id, coalesce(code, 'unmatched') AS relation_code FROM vals LEFT JOIN known USING (plain)"
 P5_UNMATCHED_SQL = f"WITH {_P5_NEAR} SELECT plain AS value, count(*) AS n FROM vals ANTI JOIN known USING (plain) GROUP BY plain"
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched}
-SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL}
+P8_ROUNDTRIP_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents"
+_P9_PLACES = r"""
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dp AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM d WHERE len(w) >= 13),
+ep AS (SELECT item_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM e WHERE len(w) >= 13),
+places AS (
+  SELECT DISTINCT doc_id, item_id, a.p FROM (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM dp) a
+  JOIN (SELECT DISTINCT item_id, array_to_string(w[p:p + 12], ' ') AS g FROM ep) b USING (g)
+)
+"""
+P9_SQL = f"WITH {_P9_PLACES} SELECT DISTINCT doc_id, item_id FROM places"
+P9_SPANS_SQL = f"""WITH {_P9_PLACES}, marked AS (SELECT *, coalesce(p - lag(p) OVER w > 13, true) AS fresh FROM places WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY p)),
+numbered AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS g FROM marked)
+SELECT doc_id, item_id, min(p) - 1 AS start_word, max(p) + 12 AS end_word FROM numbered GROUP BY doc_id, item_id, g"""
+
+QUERIES = {
+    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_spans": p9_spans,
+}
+SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL}
