@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrain.llm import canonical, encoding, leakage, oversized, survivor
+from coursegrain.llm import canonical, encoding, leakage, near, oversized, survivor
 from coursegrain.sources.tables import table
 
 FACTS = ("course_code", "module_number", "fact_id", "fact_row", "statement", "method", "extracted_at", "slides")
@@ -34,6 +34,22 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return oversized.oversized_pieces(_items(spark, d))
 
 
+NEAR_TABLES = ["facts", "cards"]
+
+
+def _near_records(spark: SparkSession, d: str) -> DataFrame:
+    facts = near.records(table(spark, d, "facts", "fact_row", "statement"), "facts", "fact_row", "statement")
+    return facts.unionByName(near.records(table(spark, d, "cards", "card_id", "question"), "cards", "card_id", "question"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_pairs(_near_records(spark, d), NEAR_TABLES).withColumnRenamed("tab", "record_table")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_groups(_near_records(spark, d), NEAR_TABLES).withColumnRenamed("tab", "record_table")
+
+
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "relation_list", "relation_code", "label", "also_written")
     return canonical.reference_forms(r, "relation_code", [F.array("label", "relation_code"), F.coalesce("also_written", F.array().cast("array<string>"))])
@@ -118,6 +134,24 @@ variants AS (
 P5_SQL = f"WITH {_P5_NEAR} SELECT triple_id, coalesce(code, 'unmatched') AS relation_code FROM vals LEFT JOIN known USING (plain)"
 P5_UNMATCHED_SQL = f"WITH {_P5_NEAR} SELECT plain AS value, count(*) AS n FROM vals ANTI JOIN known USING (plain) GROUP BY plain"
 
+_P3_SETS = r"""
+sets AS (
+  SELECT record_table, id, list_sort(list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'))) AS w
+  FROM (SELECT 'facts' AS record_table, fact_row AS id, statement AS t FROM facts UNION ALL SELECT 'cards', card_id, question FROM cards)
+), rec AS (SELECT DISTINCT record_table, id, w, len(w) AS n FROM sets WHERE len(w) >= 6),
+wide AS (SELECT record_table, id, n, unnest(w) AS v FROM rec),
+pairs AS (
+  SELECT a.record_table, a.id AS id_a, b.id AS id_b FROM wide a JOIN wide b ON a.record_table = b.record_table AND a.v = b.v AND a.id < b.id
+  GROUP BY a.record_table, a.id, b.id, a.n, b.n HAVING count(*) >= 0.75 * (a.n + b.n - count(*))
+)
+"""
+P3_SQL = f"WITH {_P3_SETS} SELECT record_table, id_a, id_b FROM pairs"
+P3_GROUPS_SQL = f"""WITH {_P3_SETS}, cls AS (SELECT record_table, id, min(id) OVER (PARTITION BY record_table, w) AS class_id FROM rec),
+ends AS (
+  SELECT DISTINCT p.record_table, a.class_id AS c, b.class_id AS o FROM pairs p JOIN cls a ON a.record_table = p.record_table AND a.id = p.id_a JOIN cls b ON b.record_table = p.record_table AND b.id = p.id_b
+  WHERE a.class_id <> b.class_id
+), counted AS (SELECT record_table, c, count(*) AS links FROM (SELECT record_table, c, o FROM ends UNION SELECT record_table, o, c FROM ends) GROUP BY record_table, c)
+SELECT cls.record_table, id, class_id, coalesce(links, 0) AS links FROM cls LEFT JOIN counted k ON k.record_table = cls.record_table AND k.c = cls.class_id"""
 P8_ROUNDTRIP_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents"
 _P9_PLACES = r"""
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -136,6 +170,6 @@ SELECT doc_id, item_id, min(p) - 1 AS start_word, max(p) + 12 AS end_word FROM n
 
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
-    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_spans": p9_spans,
+    "p3_found": p3_found, "p3_groups": p3_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_spans": p9_spans,
 }
-SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL}
+SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL}
