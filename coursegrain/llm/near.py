@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from coursegrain.functions.text import words
 
 SIMILARITY, MIN_WORDS = 0.75, 6
-#: Shares of records from which a word's own share is known, and from which it may be a correlated bit; at most (mean size) /
-#: share words can have them, so both tables are bounded whatever the collection.
+#: Shares of records from which a word's own share is known, and from which it may be a correlated bit, and the most words that
+#: the driver and the executors hold for either (the most frequent). They steer which keys are probed; the pairs found are the
+#: same without them.
 KNOWN_SHARE, FREQUENT_SHARE = 0.001, 0.02
+KNOWN_WORDS, FREQUENT_WORDS = 20_000, 400
 CORRELATED = 0.1
 #: Content partitions of the smallest sets.
 PARTITIONS = 3
@@ -79,12 +81,11 @@ def _batch_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def learn(reps: DataFrame) -> Shares:
     """Shares of words over all classes, and which frequent words are correlated (phi of CORRELATED or more with another)."""
     counted = reps.select(F.explode(F.concat(_hashes(), F.array(F.lit(None).cast("bigint")))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    # the null stands once for each record, so its count is the number of records; shares are taken against it in the same pass
-    total = counted.where("h IS NULL").select(F.col("n").alias("all_n"))
-    rows = counted.join(total, how="left").where(F.col("h").isNull() | (F.col("n") >= KNOWN_SHARE * F.col("all_n"))).select("h", "n").collect()
+    # the null stands once for each record, so its count is the number of records and no word's count is larger
+    rows = counted.orderBy(F.desc("n"), F.asc_nulls_first("h")).limit(KNOWN_WORDS + 1).collect()
     n = next((r["n"] for r in rows if r["h"] is None), 0)
-    known = {r["h"]: r["n"] for r in rows if r["h"] is not None and r["n"] > 1}
-    frequent = np.array(sorted(h for h, c in known.items() if c >= FREQUENT_SHARE * n), np.int64)
+    known = {r["h"]: r["n"] for r in rows if r["h"] is not None and r["n"] > max(1, KNOWN_SHARE * n)}
+    frequent = np.array(sorted(sorted((h for h, c in known.items() if c >= FREQUENT_SHARE * n), key=lambda h: (-known[h], h))[:FREQUENT_WORDS]), np.int64)
     correlated: set[int] = set()
     if len(frequent) > 1:
 
