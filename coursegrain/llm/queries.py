@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursegrain.llm import canonical, encoding, leakage, near, oversized, survivor
+from coursegrain.llm import canonical, encoding, leakage, near, oversized, pairs, residue, scans, survivor
 from coursegrain.sources.tables import table
 
 FACTS = ("course_code", "module_number", "fact_id", "fact_row", "statement", "method", "extracted_at", "slides")
@@ -63,6 +63,32 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return canonical.unmatched_report(table(spark, d, "triples", "relation"), "relation", _forms(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "cards", "card_id", "card_type", "question", "correct_option", "wrong_option_1", "wrong_option_2", "wrong_option_3", "expalanation", "hint"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(*_scanned(spark, d))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(*_scanned(spark, d))
+
+
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, d, "extracted_pages", "page_id", "course_code", "module_number", "number", "text")
+    slides = table(spark, d, "slides", "slide_id", "course_code", "module_number", "number", "visual_text")
+    return scans.page_lines(pages), scans.slide_lines(slides)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p10_residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", "doc_id", "text"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -170,6 +196,7 @@ SELECT doc_id, item_id, min(p) - 1 AS start_word, max(p) + 12 AS end_word FROM n
 
 QUERIES = {
     "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p10_found": p10_found, "p10_residue": p10_residue,
     "p3_found": p3_found, "p3_groups": p3_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_spans": p9_spans,
 }
 SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL}
