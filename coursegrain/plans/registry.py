@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursegrain.plans import training
+from coursegrain.plans import lesson, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**lesson.QUERIES, **training.QUERIES}
+SQL = {**lesson.SQL, **training.SQL}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p4_found"](spark, d)
+    """Facts grouped by what they say, with the best row and all slides of each group."""
+    return QUERIES["agg4_fact_groups"](spark, d)
