@@ -33,7 +33,7 @@ def test_single_judgements():
 
 def test_rows(spark):
     cols = "card_id long, card_type string, question string, correct_option string, wrong_option_1 string, wrong_option_2 string, wrong_option_3 string, expalanation string, hint string, defect string"
-    good = "The pump moves the water because the valve opens the pipe and the water keeps the pump cold."
+    good = "The pump moves the water because the valve opens the pipe and the pump keeps cold water."
     row = lambda i, kind, q, opt, exp: (i, kind, q, opt, None, None, None, exp, "the hint", "clash")
     rows = [row(k, "multiple-choice", f"What does the pump number {k} move when the valve opens?", "the water", good) for k in range(100, 140)] + [
         row(1, "true-false", "The pump moves the water only when it is cold.", "", good),
