@@ -24,7 +24,7 @@ _SAME = [("ri", "n"), ("rn", "m"), ("nn", "m"), ("vv", "w"), ("ei", "d"), ("ii",
 #: Lines that stand for missing text and are no headers.
 SENTINELS = ("not specified", "[unreadable text]", "unreadable text", "n/a")
 HYPHENS = "\\-\u00ad\u00ac\u2010\u2011"
-WORD = r"[\p{L}\p{N}|]+"
+HYPHEN_MARKS = ("-", "\u00ad", "\u00ac", "\u2010", "\u2011")
 #: A misread word is at most this share as frequent as its variant, which must occur so often.
 RARE_SHARE, LEAST_USES = 0.25, 4
 #: Misread words up to which their table goes to all executors; beyond it the join is shuffled.
@@ -35,29 +35,29 @@ _NUM = r"[0-9olis|]*[0-9][0-9olis|]*"
 PAGE_NUMBER = rf"(?i)^[\s\[(\-–—•.|]*(?:(?:page|pagc|paqe|p|pg|pp|pag|página|pagina|pahina|seite|slide)\b\.?\s*{_LOOSE}(?:\s*(?:/|of|0f|de|ng|von|-)\s*{_LOOSE})?|{_NUM}(?:\s*(?:/|of|0f|de|ng|von|-)\s*{_NUM})?|{_ROMAN})[\s\])\-–—•.|]*$"
 
 
-def _lines(df: DataFrame, name: str, key: str, lines: Column) -> DataFrame:
-    """One row a line, numbered from 1, with the line after it and its place among the lines that are not blank."""
-    base = df.select(
-        F.lit(name).alias("item_table"), F.col(key).cast("bigint").alias("item_id"), "course_code", "module_number", "number",
-        F.transform(lines, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "\r+$", "")).alias("lines"),
-    )
-    full = base.withColumn("full", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull()))
-    return full.select("*", F.posexplode("lines").alias("at", "line")).select(
-        "item_table", "item_id", "course_code", "module_number", "number", (F.col("at") + 1).cast("bigint").alias("line_no"), "line",
-        F.get("lines", F.col("at") + 1).alias("after"),
-        (F.array_position("full", F.col("at")) - 1).cast("int").alias("from_top"),
-        (F.size("full") - F.array_position("full", F.col("at"))).cast("int").alias("from_end"),
-    )
+def _items(df: DataFrame, name: str, key: str, lines: Column) -> DataFrame:
+    """One row an item, with its lines as an array."""
+    return df.select(F.lit(name).alias("item_table"), F.col(key).cast("bigint").alias("item_id"), "course_code", "module_number", "number", lines.alias("lines"))
+
+
+def _bare(x: Column) -> Column:
+    return F.rtrim(F.coalesce(x, F.lit("")), F.lit("\r"))
+
+
+def _lines(items: DataFrame) -> DataFrame:
+    """One row a line, numbered from 1, with the line after it."""
+    e = items.select("item_table", "item_id", "lines", F.posexplode("lines").alias("at", "x"))
+    return e.select("item_table", "item_id", (F.col("at") + 1).cast("bigint").alias("line_no"), _bare(F.col("x")).alias("line"), F.get("lines", F.col("at") + 1).alias("after"))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """The lines of extracted_pages.text, split at line feeds; null and empty texts have none."""
-    return _lines(pages.where("text <> ''"), "extracted_pages", "page_id", F.split("text", "\n", -1))
+    """Items with the lines of extracted_pages.text, split at line feeds; null and empty texts have none."""
+    return _items(pages.where("text <> ''"), "extracted_pages", "page_id", F.split("text", "\n", -1))
 
 
 def slide_lines(slides: DataFrame) -> DataFrame:
-    """The items of slides.visual_text as lines; null and empty lists have none, null items are blank lines."""
-    return _lines(slides.where("size(visual_text) > 0"), "slides", "slide_id", F.col("visual_text"))
+    """Items with the entries of slides.visual_text as lines; null and empty lists have none, null items are blank lines."""
+    return _items(slides.where("size(visual_text) > 0"), "slides", "slide_id", F.col("visual_text"))
 
 
 def _skeleton(c: Column) -> Column:
@@ -72,7 +72,7 @@ def _is_number(c: Column) -> Column:
     return F.length(F.trim(c)).between(1, 30) & F.trim(c).rlike(PAGE_NUMBER)
 
 
-def edge_lines(lines: DataFrame) -> DataFrame:
+def edge_lines(items: DataFrame) -> DataFrame:
     """(item_table, item_id, line_no, noise) of running headers and footers and of page numbers.
 
     An edge line is the first or last that is not blank, or the one next to it. A header repeats, up to confusable characters, on
@@ -80,21 +80,34 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     or page number outside it. A page number stands outermost, or next to a header.
     """
     keys = ["item_table", "item_id"]
-    edge = lines.where("from_top >= 0 AND (from_top <= 1 OR from_end <= 1)").select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", "line").withColumn("is_number", _is_number(F.col("line")))
-    named = edge.withColumn("skel", F.when(~F.col("is_number") & ~F.trim("line").rlike(r"[.!?;,。][\"”»')]?$") & ~F.lower(F.trim("line")).isin(*SENTINELS), _skeleton(F.col("line")))).where("skel IS NULL OR length(skel) >= 5")
-    seen = named.where("skel IS NOT NULL").groupBy("course_code", "module_number", "skel", "number").agg(F.lit(1).alias("one")).groupBy("course_code", "module_number", "skel").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    hit = named.where("skel IS NOT NULL").join(seen.select("course_code", "module_number", "skel"), ["course_code", "module_number", "skel"], "left_semi").select(*keys, "line_no", "from_top", "from_end", F.lit("header").alias("noise"))
-    numbers = edge.where("is_number").select(*keys, "line_no", "from_top", "from_end", F.lit("page_number").alias("noise"))
+    # only the outer four lines of an item are looked at one by one
+    full = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(_bare(F.get("lines", i))) != "")
+    base = items.select(*keys, "course_code", "module_number", "number", "lines", full.alias("full"))
+    place = lambda i: F.struct((F.get("full", i) + 1).cast("bigint").alias("line_no"), i.alias("from_top"), (F.size("full") - 1 - i).alias("from_end"), _bare(F.get("lines", F.get("full", i))).alias("line"))
+    outer = F.filter(F.sequence(F.lit(0), F.size("full") - 1), lambda i: (i <= 1) | (i >= F.size("full") - 2))
+    edge = base.where("size(full) > 0").select(*keys, "course_code", "module_number", "number", F.explode(F.transform(outer, place)).alias("e")).select(*keys, "course_code", "module_number", "number", "e.*")
+    edge = edge.where(F.length("line") <= 120).withColumn("is_number", _is_number(F.col("line")))
+    skel = F.when(~F.col("is_number") & ~F.trim("line").rlike(r"[.!?;,。][\"”»')]?$") & ~F.lower(F.trim("line")).isin(*SENTINELS), _skeleton(F.col("line")))
+    named = cut(edge.select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", "is_number", skel.alias("skel")).where("is_number OR length(skel) >= 5"))
+    module = ["course_code", "module_number", "skel"]
+    seen = named.where("skel IS NOT NULL").select(*module, "number").distinct().groupBy(*module).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    hit = named.where("skel IS NOT NULL").join(seen.select(*module), module, "left_semi").select(*keys, "line_no", "from_top", "from_end", F.lit("header").alias("noise"))
+    numbers = named.where("is_number").select(*keys, "line_no", "from_top", "from_end", F.lit("page_number").alias("noise"))
     # at most four edge lines an item
-    per = hit.unionByName(numbers).groupBy(*keys).agg(F.collect_list(F.struct("line_no", "from_top", "from_end", "noise")).alias("e"))
+    per = hit.unionByName(numbers).groupBy(*keys).agg(F.collect_set(F.struct("line_no", "from_top", "from_end", "noise")).alias("e"))
     outermost = lambda x: (x["from_top"] == 0) | (x["from_end"] == 0)
     good = F.filter("e", lambda x: outermost(x) | F.exists("e", lambda o: ((x["from_top"] == 1) & (o["from_top"] == 0)) | ((x["from_end"] == 1) & (o["from_end"] == 0))))
     return per.select(*keys, F.explode(good).alias("x")).select(*keys, "x.line_no", "x.noise")
 
 
+def _goes_on() -> Column:
+    """Whether the line ends with a letter and a hyphen and the next begins with a letter."""
+    return F.right(F.rtrim("line"), F.lit(1)).isin(*HYPHEN_MARKS) & F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]\s*$") & F.col("after").rlike(r"^\s*\p{L}")
+
+
 def hyphen_lines(lines: DataFrame) -> DataFrame:
-    """The lines whose last word goes on in the next: a letter and a hyphen at the end, and a letter first in the next line."""
-    return lines.where(F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]\s*$") & F.col("after").rlike(r"^\s*\p{L}")).select("item_table", "item_id", "line_no", F.lit("hyphen").alias("noise"))
+    """The lines whose last word goes on in the next."""
+    return lines.where(_goes_on()).select("item_table", "item_id", "line_no", F.lit("hyphen").alias("noise"))
 
 
 def _hash(c: Column) -> Column:
@@ -112,7 +125,10 @@ def _value(s: str) -> int:
 
 
 def _line_words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.regexp_replace(c, rf"(?<!\p{{L}})\p{{L}}++[{HYPHENS}]\s*+$", "")), F.lit(f"({WORD})"), 1)
+    """The words of a line in lower case, but for one that is broken off by a hyphen at its end."""
+    broken = F.right(F.rtrim(c), F.lit(1)).isin(*HYPHEN_MARKS)
+    whole = F.when(broken, F.regexp_replace(c, rf"(?<!\p{{L}})\p{{L}}++[{HYPHENS}]\s*+$", "")).otherwise(c)
+    return F.filter(F.split(F.lower(whole), rf"[^\p{{L}}\p{{N}}|]+"), lambda w: w != "")
 
 
 def misread_words(lines: DataFrame) -> DataFrame:
@@ -120,8 +136,8 @@ def misread_words(lines: DataFrame) -> DataFrame:
 
     The most frequent variant is taken (ties: fewest changes, then the first by name).
     """
-    words = lines.where("from_top >= 0").select(F.explode(_line_words(F.col("line"))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = lines.select(F.explode(_line_words(F.col("line"))).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     frequent = counts.where((F.col("n") >= LEAST_USES) & F.col("word").rlike(r"^\p{L}{3,40}$")).select(F.col("word").alias("variant"), F.col("n").alias("m"), _hash(F.col("word")).alias("h"))
     changes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(_value(r) - _value(w)).cast("bigint").alias("d")) for w, r in CONFUSED])
     rare = counts.where((F.length("word") >= 3) & (F.length("word") <= 40) & F.col("word").rlike(r"\p{L}")).select("word", "n", _hash(F.col("word")).alias("g"), F.filter(changes, lambda x: F.contains(F.col("word"), x["w"])).alias("c"))
@@ -151,7 +167,7 @@ def misread_places(lines: DataFrame) -> DataFrame:
     wrong = cut(misread_words(lines))
     if wrong.count() <= BROADCAST_WORDS:
         wrong = F.broadcast(wrong)
-    spots = lines.where("from_top >= 0").select("item_table", "item_id", "line_no", F.explode(F.array_distinct(_line_words(F.col("line")))).alias("word"))
+    spots = lines.select("item_table", "item_id", "line_no", F.explode(_line_words(F.col("line"))).alias("word"))
     return spots.join(wrong, "word")
 
 
@@ -160,8 +176,8 @@ def noisy_lines(pages: DataFrame, slides: DataFrame) -> DataFrame:
 
     Null, empty and blank texts and lines give none; repeated items give their lines once.
     """
-    lines = pages.unionByName(slides)
-    edges = edge_lines(lines)
+    items = pages.unionByName(slides)
+    lines, edges = _lines(items), cut(edge_lines(items))
     keys = ["item_table", "item_id", "line_no"]
     inner = hyphen_lines(lines).unionByName(misread_places(lines).select(*keys, F.lit("misread").alias("noise")))
     return inner.join(edges.select(*keys), keys, "left_anti").unionByName(edges.select(*keys, "noise")).distinct()
@@ -172,14 +188,15 @@ def repaired(pages: DataFrame, slides: DataFrame) -> DataFrame:
 
     Blank lines part paragraphs. An item of noise only has the empty text.
     """
-    lines = pages.unionByName(slides)
+    items = pages.unionByName(slides)
+    lines = _lines(items)
     keys = ["item_table", "item_id", "line_no"]
-    edges = edge_lines(lines).select(*keys).distinct().withColumn("drop", F.lit(True))
+    edges = edge_lines(items).select(*keys).distinct().withColumn("drop", F.lit(True))
     fixes = misread_places(lines).distinct().groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("word", "variant"))).alias("fixes"))
-    goes_on = F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]\s*$") & F.col("after").rlike(r"^\s*\p{L}")
+    goes_on = F.coalesce(_goes_on(), F.lit(False))
     put = "aggregate(coalesce(fixes, cast(array() as array<struct<word:string,variant:string>>)), s, (t, f) -> regexp_replace(t, concat('(?iu)(?<![\\\\p{L}\\\\p{N}])\\\\Q', f.word, '\\\\E(?![\\\\p{L}\\\\p{N}])'), f.variant))"
     flat = (
-        lines.dropDuplicates(keys).select(*keys, F.when(goes_on, F.regexp_replace("line", rf"[{HYPHENS}]\s*$", "")).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.col("from_top") < 0).alias("blank"))
+        lines.dropDuplicates(keys).select(*keys, F.when(goes_on, F.regexp_replace("line", rf"[{HYPHENS}]\s*$", "")).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.trim("line") == "").alias("blank"))
         .join(edges, keys, "left").join(fixes, keys, "left")
         .select(*keys, F.when(F.col("drop"), "").when(F.col("blank"), "\n").otherwise(F.expr(put)).alias("s"))
     )

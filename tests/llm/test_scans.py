@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from coursegrain.llm.scans import PAGE_NUMBER, misread_words, noisy_lines, page_lines, repaired, slide_lines
+from coursegrain.llm.scans import PAGE_NUMBER, _lines, misread_words, noisy_lines, page_lines, repaired, slide_lines
 
 
 @pytest.mark.parametrize("line,yes", [("12", True), ("p. l2", True), ("Page 3 of 8", True), ("- 4 -", True), ("[44]", True), ("17 / 24", True), ("xiv", True), ("p. ll", True), ("mild", False), ("12 volts", False), ("page", False), ("", False), ("sol", False)])
@@ -38,4 +38,4 @@ def test_lines_and_repair(spark):
 
 def test_two_changes(spark):
     df = spark.createDataFrame([(1, "C", "1", 1, "\n".join(["collected"] * 20 + ["collcctcd", "co1lected"]))], "page_id long, course_code string, module_number string, number int, text string")
-    assert {(r.word, r.variant) for r in misread_words(page_lines(df)).collect()} == {("collcctcd", "collected"), ("co1lected", "collected")}
+    assert {(r.word, r.variant) for r in misread_words(_lines(page_lines(df))).collect()} == {("collcctcd", "collected"), ("co1lected", "collected")}
