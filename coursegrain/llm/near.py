@@ -249,7 +249,8 @@ def _candidates(asking: DataFrame, answering: DataFrame) -> DataFrame:
         & ((la > rb) | ((la == rb) & (F.col("l.id") < F.col("r.id")))) & (rb >= SIMILARITY * la)
     )
     near = F.expr("bit_count(shiftright(l.meta ^ r.meta, 32))") * (1 + SIMILARITY) <= (1 - SIMILARITY) * (la + rb)
-    return l.join(r, (F.col("l.key") == F.col("r.key")) & fits & near).select(lt.alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    # one condition on both sides, so that nothing of it moves below the exchange that the two sides share
+    return l.join(r, (F.col("l.key") == F.col("r.key")) & F.when(fits, near).otherwise(False)).select(lt.alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
 def classes(recs: DataFrame) -> DataFrame:
@@ -259,12 +260,13 @@ def classes(recs: DataFrame) -> DataFrame:
 
 def near_classes(reps: DataFrame, names: list[str], shares: Shares) -> DataFrame:
     """(tab, a, b), a < b: the smallest ids of classes of different word sets that are near."""
-    fine = _candidates(_keys(reps, shares, names, False, asking=True), _keys(reps, shares, names, False))
-    found = fine.unionByName(_candidates(_keys(reps, shares, names, True, asking=True), _keys(reps, shares, names, True))).distinct()
+    fine = _keys(reps, shares, names, False)
+    found = _candidates(fine, fine).unionByName(_candidates(_keys(reps, shares, names, True, asking=True), _keys(reps, shares, names, True))).distinct()
     table = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("tab") + 1).cast("int"))
     named = found.select(table.alias("tab"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    side = lambda x: reps.select("tab", F.col("rep").alias(x), F.split("k", " ").alias(f"w{x}"))
-    both = named.join(side("a"), ["tab", "a"]).join(side("b"), ["tab", "b"])
+    side = lambda x: reps.select("tab", F.col("rep").alias(x), F.col("k").alias(f"k{x}"))
+    # strings are shuffled, and split only after the joins
+    both = named.join(side("a"), ["tab", "a"]).join(side("b"), ["tab", "b"]).withColumn("wa", F.split("ka", " ")).withColumn("wb", F.split("kb", " "))
     shared = F.size(F.array_intersect("wa", "wb"))
     return both.where(shared >= SIMILARITY * (F.size("wa") + F.size("wb") - shared)).select("tab", "a", "b")
 
