@@ -329,3 +329,63 @@ def agg10_course_time(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT m.course_code, m.module_number, m.source_sha256 FROM modules m ANTI JOIN (SELECT DISTINCT course_code, module_number FROM cards) c ON c.course_code = m.course_code AND c.module_number = m.module_number")
 def inc2_pending_modules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "modules", *M, "source_sha256").join(table(spark, d, "cards", *M), M, "left_anti")
+
+
+_STEMMED = r"""CASE WHEN regexp_full_match(w, '[0-9]+') THEN w WHEN regexp_matches(w, '...ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '...(s|x|ch|sh)es$') THEN regexp_replace(w, 'es$', '')
+WHEN regexp_matches(w, '...[^s]s$') THEN regexp_replace(w, 's$', '') WHEN regexp_matches(w, '....ing$') THEN regexp_replace(w, 'ing$', '') WHEN regexp_matches(w, '....ed$') THEN regexp_replace(w, 'ed$', '') ELSE w END"""
+
+
+@query(f"SELECT {_STEMMED} AS stem, count(*) AS n, count(DISTINCT fact_row) AS n_facts FROM (SELECT fact_row, unnest({_TOK.format('statement')}) AS w FROM facts) GROUP BY 1")
+def str24_stems(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "facts", "fact_row", "statement").select("fact_row", F.explode(L.tokens(F.col("statement"))).alias("w")).select("fact_row", L.stem(F.col("w")).alias("stem"))
+    per = w.groupBy("stem", "fact_row").agg(F.count(F.lit(1)).alias("c"))  # fact_row is unique: no distinct count over a hot stem
+    return per.groupBy("stem").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_facts"))
+
+
+_NEG = ", ".join(f"'{w}'" for w in L.NEGATIONS)
+
+
+@query(rf"""SELECT card_id, array_to_string(list_sort(list_filter(regexp_extract_all(regexp_replace(regexp_replace(replace(lower(question), '’', ''''), 'can''t', 'cannot', 'g'), 'n''t', ' not', 'g'), '[a-z0-9]+'), lambda w: w IN ({_NEG}))), ' ') AS markers FROM cards""")
+def str29_negations(spark: SparkSession, d: str) -> DataFrame:
+    q = F.replace(F.lower("question"), F.lit("’"), F.lit("'"))
+    q = F.regexp_replace(F.regexp_replace(q, "can't", "cannot"), "n't", " not")
+    return table(spark, d, "cards", "card_id", "question").select("card_id", F.array_join(F.array_sort(F.filter(L.tokens(q), lambda w: w.isin(*L.NEGATIONS))), " ").alias("markers"))
+
+
+@query("""SELECT course_code, module_number, arg_min(trim(title), slide_id) FILTER (trim(title) <> '' AND lower(trim(title)) NOT IN ('not specified', '[unreadable text]', 'n/a')) AS title,
+arg_min(trim(brief_explanation), slide_id) FILTER (trim(brief_explanation) <> '' AND lower(trim(brief_explanation)) NOT IN ('not specified', '[unreadable text]', 'n/a')) AS explanation FROM slides GROUP BY course_code, module_number""")
+def win11_first_meaningful(spark: SparkSession, d: str) -> DataFrame:
+    first = lambda c: F.min(F.when((F.trim(c) != "") & ~F.lower(F.trim(c)).isin(*L.MISSING), F.struct("slide_id", F.trim(c).alias("v"))))["v"]
+    return table(spark, d, "slides", *M, "slide_id", "title", "brief_explanation").groupBy(*M).agg(first("title").alias("title"), first("brief_explanation").alias("explanation"))
+
+
+@query(f"""WITH {_FACTS}, p AS (SELECT course_code, module_number, fact_row, lower(trim(topic)) AS topic, list_min(list_filter(slides, lambda x: x > 0)) AS slide FROM n WHERE trim(topic) <> ''),
+c AS (SELECT course_code, module_number, topic, min(slide) AS slide FROM p GROUP BY ALL),
+x AS (SELECT c.course_code, c.module_number, c.topic, p.fact_row, abs(p.slide - c.slide) AS distance FROM c JOIN p ON p.course_code = c.course_code AND p.module_number = c.module_number AND p.slide BETWEEN c.slide - 8 AND c.slide + 8 AND p.topic <> c.topic)
+SELECT course_code, module_number, topic, fact_row, CAST(distance AS BIGINT) AS distance FROM x QUALIFY row_number() OVER (PARTITION BY course_code, module_number, topic ORDER BY distance, fact_row) <= 12""")
+def join4_near_slides(spark: SparkSession, d: str) -> DataFrame:
+    """For each topic of a module, the 12 facts of other topics on the nearest slides, at most 8 slides away: a banded equality join."""
+    f = table(spark, d, "facts", *M, "fact_row", "topic", "slides").where("trim(topic) <> ''")
+    p = f.select(*M, "fact_row", F.lower(F.trim("topic")).alias("topic"), F.array_min(F.filter("slides", lambda x: x > 0)).alias("slide")).where("slide IS NOT NULL")
+    c = p.groupBy(*M, F.col("topic").alias("of")).agg(F.min("slide").alias("at"))
+    bands = c.withColumn("band", F.explode(F.array(*[F.floor(F.col("at") / 16) + k for k in (-1, 0, 1)])))
+    x = bands.join(p.withColumn("band", F.floor(F.col("slide") / 16)), [*M, "band"]).where("topic <> of AND abs(slide - at) <= 8")
+    near = x.withColumn("distance", F.abs(F.col("slide") - F.col("at")).cast("bigint"))
+    k = F.row_number().over(W.partitionBy(*M, "of").orderBy("distance", "fact_row"))
+    return near.withColumn("k", k).where("k <= 12").select(*M, F.col("of").alias("topic"), "fact_row", "distance")
+
+
+@query(f"""WITH {_FACTS}, {_TRIPLES}, u AS (SELECT course_code, module_number, s AS statement, 0 AS side, fact_row AS i FROM n WHERE s <> ''
+UNION ALL SELECT course_code, module_number, s || ' | ' || r || ' | ' || o, 1, triple_id FROM t) SELECT course_code, module_number, statement, CASE min(side) WHEN 0 THEN 'fact' ELSE 'relationship' END AS kind, count(*) AS n_rows FROM u GROUP BY course_code, module_number, statement""")
+def set1_facts_and_edges(spark: SparkSession, d: str) -> DataFrame:
+    f = _facts(spark, d).where("s <> ''").select(*M, F.col("s").alias("statement"), F.lit(0).alias("side"))
+    e = _triples(spark, d).select(*M, F.concat_ws(" | ", "s", "r", "o").alias("statement"), F.lit(1).alias("side"))
+    return f.unionByName(e).groupBy(*M, "statement").agg(F.min("side").alias("side"), F.count(F.lit(1)).alias("n_rows")).select(*M, "statement", F.when(F.col("side") == 0, "fact").otherwise("relationship").alias("kind"), "n_rows")
+
+
+@query("SELECT extracted_at_day AS day, count(*) AS n_pages, count(*) FILTER (method = 'ocr') AS n_ocr, count(*) FILTER (late) AS n_late FROM (SELECT CAST(CAST(extracted_at AS DATE) AS VARCHAR) AS extracted_at_day, method, date_diff('hour', extracted_at, loaded_at) >= 24 AS late FROM extracted_pages) GROUP BY 1")
+def agg12_daily_pages(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "extracted_pages", "extracted_at", "loaded_at", "method")
+    hours = F.floor(F.unix_seconds(F.col("loaded_at").cast("timestamp")) / 3600) - F.floor(F.unix_seconds(F.col("extracted_at").cast("timestamp")) / 3600)
+    day = F.date_format("extracted_at", "yyyy-MM-dd").alias("day")
+    return p.groupBy(day).agg(F.count(F.lit(1)).alias("n_pages"), F.count(F.when(F.col("method") == "ocr", 1)).alias("n_ocr"), F.count(F.when(hours >= 24, 1)).alias("n_late"))
