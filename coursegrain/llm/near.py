@@ -10,7 +10,7 @@ sum of (t_i + 1) is the distance + 1, two records within the distance have some
 * Thresholds are unequal and chosen for each record by dynamic programming over the candidates that each partition would give,
   estimated from the share of records that hold each word. t_i = -1 skips a partition, 0 probes its exact bits, 1 also those
   with one word more or less. Sets too large for three partitions of t_i <= 1 use 6, 12, 24 ... of them.
-* Candidates share a key and pass a 31-bit parity sketch whose distance never exceeds the true one; survivors are verified on
+* Candidates share a key and pass a 64-bit parity sketch whose distance never exceeds the true one; survivors are verified on
   their words.
 
 Equal sets become one class before that and are expanded at the end in blocks, so copies of one text never meet in one task.
@@ -39,8 +39,6 @@ CORRELATED = 0.1
 PARTITIONS = 3
 #: A key that more than this share of records is expected to hold is probed apart, by those records alone that need it.
 COARSE_SHARE = 2e-4
-#: Distinct words of a record must be fewer.
-MOST_WORDS = 1 << 25
 #: Members of one class that meet in one task.
 BLOCK = 1000
 
@@ -164,26 +162,25 @@ EXACT, LOOSE = 0, 1
 
 
 def key_rows(ids: np.ndarray, tab: np.ndarray, offsets: np.ndarray, h: np.ndarray, shares: Shares) -> dict[str, np.ndarray]:
-    """key, id, meta and coarse of every key of the records.
+    """key, id, meta, sig (the parity sketch) and coarse of every key of the records.
 
-    meta, from the high bits down: a parity sketch of 31 bits, the size (25 bits), probe (2), kind (1) and tab (4).
+    meta, from the high bits down: the size, probe (2 bits), kind (1) and tab (4).
     probe is 0 for a key that only answers, 1 for one that asks for exact bits, 2 for one that also asks for a word more or less.
     """
     sizes = np.diff(offsets)
     n = len(sizes)
     logs, correlated, mixed = shares.log_share(h), shares.is_correlated(h), _mix(h)
     rec = np.repeat(np.arange(n), sizes)
-    if n and sizes.max() >= MOST_WORDS:
-        raise ValueError(f"a record has {sizes.max()} distinct words; meta holds sizes below {MOST_WORDS}")
-    sig = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(33)) % np.uint64(31), offsets[:-1]).astype(np.int64) if n else np.zeros(0, np.int64)
+    sig = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), offsets[:-1]) if n else np.zeros(0, np.uint64)
     own = _level(_most(sizes))
     last = _level(_most(np.floor(sizes / SIMILARITY + 1e-9).astype(np.int64)))
-    out: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "id", "meta", "coarse")}
+    out: dict[str, list[np.ndarray]] = {k: [] for k in ("key", "id", "meta", "sig", "coarse")}
 
     def add(key, r, probe, kind, coarse):
         out["key"].append(key.view(np.int64))
         out["id"].append(ids[r])
-        out["meta"].append((((sig[r] << 25 | sizes[r]) << 2 | probe) << 1 | kind) << 4 | tab[r])
+        out["meta"].append(((sizes[r] << 2 | probe) << 1 | kind) << 4 | tab[r])
+        out["sig"].append(sig[r].view(np.int64))
         out["coarse"].append(coarse)
 
     for c in sorted({*own.tolist(), *last.tolist()}):
@@ -219,7 +216,7 @@ def key_rows(ids: np.ndarray, tab: np.ndarray, offsets: np.ndarray, h: np.ndarra
             add(_mix(total + salts), np.repeat(some, c + 1), ask, EXACT, sumlog > math.log(COARSE_SHARE))
             d = np.flatnonzero(part > 0)
             add(_mix(total[cell[d]] - hm[d] + salts[cell[d]]), some[r[d]], np.where(ask[cell[d]] == 2, 2, 0), LOOSE, sumlog[cell[d]] - lg[d] > math.log(COARSE_SHARE))
-    kinds = {"key": np.int64, "id": np.int64, "meta": np.int64, "coarse": bool}
+    kinds = {"key": np.int64, "id": np.int64, "meta": np.int64, "sig": np.int64, "coarse": bool}
     return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
 
 
@@ -233,22 +230,22 @@ def _keys(reps: DataFrame, shares: Shares, names: list[str], coarse: bool, askin
             keep = rows["coarse"] == coarse
             if asking:
                 keep &= (rows["meta"] >> 5 & 3) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k][keep], pa.int64()) for k in ("key", "id", "meta")], ["key", "id", "meta"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[k][keep], pa.int64()) for k in ("key", "id", "meta", "sig")], ["key", "id", "meta", "sig"])
 
     number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("tab")) - 1
-    return reps.select("rep", number.alias("tab"), _hashes().alias("h")).mapInArrow(run, "key bigint, id bigint, meta bigint")
+    return reps.select("rep", number.alias("tab"), _hashes().alias("h")).mapInArrow(run, "key bigint, id bigint, meta bigint, sig bigint")
 
 
 def _candidates(asking: DataFrame, answering: DataFrame) -> DataFrame:
     """(tab, a, b) of records that share a key as the asking one's thresholds want it, and pass the sketch; a may exceed b."""
     l, r = asking.alias("l"), answering.alias("r")
-    field = lambda x: tuple(F.expr(e) for e in (f"shiftright({x}.meta, 7) & {MOST_WORDS - 1}", f"shiftright({x}.meta, 5) & 3", f"shiftright({x}.meta, 4) & 1", f"{x}.meta & 15"))
+    field = lambda x: tuple(F.expr(e) for e in (f"shiftright({x}.meta, 7)", f"shiftright({x}.meta, 5) & 3", f"shiftright({x}.meta, 4) & 1", f"{x}.meta & 15"))
     (la, lp, lk, lt), (rb, _, rk, rt) = field("l"), field("r")
     fits = (
         (lp > 0) & (lt == rt) & ((lk == EXACT) | (rk == EXACT)) & ((lp == 2) | (rk == EXACT))
         & ((la > rb) | ((la == rb) & (F.col("l.id") < F.col("r.id")))) & (rb >= SIMILARITY * la)
     )
-    near = F.expr("bit_count(shiftright(l.meta ^ r.meta, 32))") * (1 + SIMILARITY) <= (1 - SIMILARITY) * (la + rb)
+    near = F.expr("bit_count(l.sig ^ r.sig)") * (1 + SIMILARITY) <= (1 - SIMILARITY) * (la + rb)
     # one condition on both sides, so that nothing of it moves below the exchange that the two sides share
     return l.join(r, (F.col("l.key") == F.col("r.key")) & F.when(fits, near).otherwise(False)).select(lt.alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
