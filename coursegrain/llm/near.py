@@ -9,7 +9,7 @@ sum of (t_i + 1) is the distance + 1, two records within the distance have some
   speed depends on this.
 * Thresholds are unequal and chosen for each record by dynamic programming over the candidates that each partition would give,
   estimated from the share of records that hold each word. t_i = -1 skips a partition, 0 probes its exact bits, 1 also those
-  with one word more or less. Sets too large for three partitions of t_i <= 1 use 6, 12, 24 ... of them.
+  with one word more or less. Sets too large for four partitions of t_i <= 1 use 8, 16, 32 ... of them.
 * Candidates share a key and pass a 64-bit parity sketch whose distance never exceeds the true one; survivors are verified on
   their words.
 
@@ -36,9 +36,9 @@ KNOWN_SHARE, FREQUENT_SHARE = 0.001, 0.02
 KNOWN_WORDS, FREQUENT_WORDS = 20_000, 400
 CORRELATED = 0.1
 #: Content partitions of the smallest sets.
-PARTITIONS = 3
+PARTITIONS = 4
 #: A key that more than this share of records is expected to hold is probed apart, by those records alone that need it.
-COARSE_SHARE = 2e-4
+COARSE_SHARE = 1e-3
 #: Members of one class that meet in one task.
 BLOCK = 1000
 
@@ -119,7 +119,7 @@ def _most(a: np.ndarray) -> np.ndarray:
 
 
 def _level(most: np.ndarray) -> np.ndarray:
-    """Content partitions: the least of 3, 6, 12 ... that, with t_i <= 1 each and 0 for partition 0, reach most + 1."""
+    """Content partitions: the least of 4, 8, 16 ... that, with t_i <= 1 each and 0 for partition 0, reach most + 1."""
     c = np.full(len(most), PARTITIONS, np.int64)
     while (low := 2 * c < most).any():
         c = np.where(low, 2 * c, c)
@@ -246,8 +246,8 @@ def _candidates(asking: DataFrame, answering: DataFrame) -> DataFrame:
         & ((la > rb) | ((la == rb) & (F.col("l.id") < F.col("r.id")))) & (rb >= SIMILARITY * la)
     )
     near = F.expr("bit_count(l.sig ^ r.sig)") * (1 + SIMILARITY) <= (1 - SIMILARITY) * (la + rb)
-    # one condition on both sides, so that nothing of it moves below the exchange that the two sides share
-    return l.join(r, (F.col("l.key") == F.col("r.key")) & F.when(fits, near).otherwise(False)).select(lt.alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    # one condition on both sides, so that nothing of it moves below the exchange that the two sides share; the sketch comes first
+    return l.join(r, (F.col("l.key") == F.col("r.key")) & F.when(near, fits).otherwise(False)).select(lt.alias("tab"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
 def classes(recs: DataFrame) -> DataFrame:
