@@ -58,7 +58,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, component): the smallest node name of each connected component, by alternating star contraction.
 
     Each round links the neighbours of a node to the smallest of them, so the number of rounds grows with the logarithm of the
-    longest path; every round ends in a reliable checkpoint. Degrees shrink as larger stars are split over their smallest node.
+    longest path; every round ends in a reliable checkpoint.
     """
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
