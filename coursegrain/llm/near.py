@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursegrain.functions.text import words
+from coursegrain.sources.tables import stored
 
 SIMILARITY, MIN_WORDS = 0.75, 6
 #: Shares of records from which a word's own share is known, and from which it may be a correlated bit, and the most words that
@@ -79,7 +80,7 @@ def _batch_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(reps: DataFrame) -> Shares:
-    """Shares of words over all records, and which frequent words are correlated (phi of CORRELATED or more with another)."""
+    """Shares of words over all classes, and which frequent words are correlated (phi of CORRELATED or more with another)."""
     counted = reps.select(F.explode(F.concat(_hashes(), F.array(F.lit(None).cast("bigint")))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     # the null stands once for each record, so its count is the number of records and no word's count is larger
     rows = counted.orderBy(F.desc("n"), F.asc_nulls_first("h")).limit(KNOWN_WORDS + 1).collect()
@@ -274,11 +275,11 @@ def near_pairs(recs: DataFrame, names: list[str]) -> DataFrame:
     Records of fewer than MIN_WORDS distinct words, and null texts, are in no pair. Rows repeated with the same id make no pair
     with themselves, and no pair comes twice.
     """
-    reps = classes(recs)
+    reps = stored(classes(recs))
     copies = reps.where("n > 1").select("tab", "k", "rep", "n")
     digest = [F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2")]
     members = recs.select("tab", "id", *digest).join(copies.select("tab", *digest, "rep", "n"), ["tab", "h1", "h2"]).select("tab", "rep", "n", "id").distinct()
-    near = near_classes(reps, names, learn(recs))
+    near = near_classes(reps, names, learn(reps))
     left = members.select("tab", F.col("rep").alias("a"), F.col("id").alias("id_x"))
     right = members.select("tab", F.col("rep").alias("b"), F.col("id").alias("id_y"))
     across = near.join(left, ["tab", "a"], "left").join(right, ["tab", "b"], "left").select("tab", F.coalesce("id_x", "a").alias("x"), F.coalesce("id_y", "b").alias("y"))
@@ -293,8 +294,8 @@ def near_pairs(recs: DataFrame, names: list[str]) -> DataFrame:
 
 def near_groups(recs: DataFrame, names: list[str]) -> DataFrame:
     """(tab, id, class_id, links): each record, the smallest id with its word set, and the number of other near classes."""
-    reps = classes(recs)
-    near = near_classes(reps, names, learn(recs))
+    reps = stored(classes(recs))
+    near = near_classes(reps, names, learn(reps))
     ends = near.select("tab", F.col("a").alias("rep")).unionAll(near.select("tab", F.col("b").alias("rep"))).groupBy("tab", "rep").agg(F.count(F.lit(1)).alias("links"))
     digest = [F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2")]
     of = reps.select("tab", *digest, "rep").join(ends, ["tab", "rep"], "left")
