@@ -42,7 +42,7 @@ def test_rows(spark):
         row(4, "identification", "What does the pump move?", "the water", "The pump moves the wat"),
         row(5, "identification", "What does the pump move?", "the water", "The pump moves the"),
         row(6, "identification", "What does the pump move?", "el agua", "I must decline to write this explanation."),
-        row(7, None, None, "the water", good * 2000),
+        row(7, None, None, "the water", "The wall holds the roof. " * 4000),
         row(8, "identification", "What does the pump move?", "the water", "The pump moves the water"),
         row(3, "identification", "What does the pump move?", None, None),
     ]
