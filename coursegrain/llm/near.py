@@ -204,7 +204,9 @@ def key_rows(ids: np.ndarray, tab: np.ndarray, offsets: np.ndarray, h: np.ndarra
                 total[count > 0] = np.add.reduceat(hm[order], begins)
             sumlog = np.bincount(cell, weights=lg, minlength=cells)
             inverse = np.bincount(cell, weights=np.exp(-lg), minlength=cells)
-            mean = count.reshape(-1, c + 1).mean(0)[None, :]
+            # of the record alone, not of its batch: every pass over the records must plan each of them alike
+            per = count.reshape(-1, c + 1)
+            mean = np.concatenate([per[:, :1], np.repeat(per[:, 1:].sum(1, keepdims=True) / c, c, axis=1)], axis=1)
             share = np.exp(np.maximum(sumlog, -600)).reshape(-1, c + 1)
             exact = share * np.exp(-mean)
             loose = exact + np.exp(-mean) * share * (inverse.reshape(-1, c + 1) + mean)
