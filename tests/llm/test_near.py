@@ -63,3 +63,15 @@ def test_thresholds_reach_the_sum_at_least_cost():
         price = lambda p: sum((0, exact[k, i], loose[k, i])[x] for i, x in enumerate(p))
         least = min(price(p) for p in itertools.product((0, 1, 2), repeat=4) if sum(p) >= need[k])
         assert sum(t[k] + 1) >= need[k] and price(t[k] + 1) == pytest.approx(least)
+
+
+def test_plans_do_not_depend_on_the_batch():
+    r = np.random.default_rng(9)
+    sizes = r.integers(6, 60, 80)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    h = r.integers(0, 400, offsets[-1]) * 7919
+    shares = near.Shares({int(w): int(c) for w, c in zip(*np.unique(h, return_counts=True))}, 80, set(np.unique(h)[:5].tolist()))
+    whole = near.key_rows(np.arange(80), np.zeros(80, np.int64), offsets, h, shares)
+    parts = [near.key_rows(np.arange(a, b), np.zeros(b - a, np.int64), offsets[a : b + 1] - offsets[a], h[offsets[a] : offsets[b]], shares) for a, b in ((0, 1), (1, 33), (33, 80))]
+    rows = lambda d: sorted(zip(*(x.tolist() for x in d.values())))
+    assert rows(whole) == sorted(x for p in parts for x in rows(p))
