@@ -2,8 +2,8 @@
 
 Copies are measured by running an answer through the suffix automaton of its question; refusals by an Aho-Corasick automaton of
 refusal phrases; other languages by votes of stop words and scripts; breaks by a stack of open delimiters, by what the text ends
-with, and by the words of the whole table: an answer without a final mark is broken off when its last word is none that the table
-knows (a cut word), or one that all but never ends a sentence or an answer.
+with, and by the words of the whole table: an answer without a final mark is broken off when its last word is one that the table
+has mostly at such ends (a cut word), or one that all but never ends a sentence or an answer.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Said instead of an answer, whole and lower-cased.
@@ -51,6 +51,8 @@ _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」"}
 COVERED, REPEATED, STRETCH = 0.8, 0.6, 3
 #: A word ends an answer when it does so in this share of its uses, if it is used so often at all.
 END_SHARE, END_USES = 0.02, 30
+#: A word is a cut one when more than this share of its uses breaks off an answer.
+CUT_SHARE = 0.5
 
 
 class SuffixAutomaton:
@@ -191,14 +193,30 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string())], ["card_id", "defect"])
 
 
-def _word_uses(cards: DataFrame, texts: list[str], options: list[str]) -> DataFrame:
-    """(word, inner, ends, last): uses of each word before the end or with a mark, before a final mark, and as last of an option."""
+def _open_word(c: str, option: bool) -> Column:
+    """The last word of an answer without a final mark, where the answer has words enough to be judged by it; else null."""
+    t = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    n = F.size(F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), 1))
+    judged = t.rlike(r"[\p{L}\p{N}]$") & (n >= (3 if option else 2)) & ~F.lower(t).isin(*sorted(NOTHING))
+    return F.when(judged, F.regexp_extract(F.lower(t), r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)$", 1))
+
+
+def _word_uses(cards: DataFrame) -> DataFrame:
+    """(word, inner, ends, whole, open): uses of each word before the end or with a mark, before a final mark, as last of a wrong
+    option, and as last of an answer that is judged by it.
+
+    Wrong options are nobody's answer and end whole; answers are what may be cut, so they do not speak for their own last words.
+    """
+    wrong = ["wrong_option_1", "wrong_option_2", "wrong_option_3"]
+    texts = ["question", "expalanation", "hint", "correct_option", *wrong]
     closed = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)[”\"'»)\]]*+[.!?。！？]"), 1)
     inner = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)(?![^\p{L}\p{N}.!?]*+$)"), 1)
     last = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)\s*+$"), 1)
-    entry = lambda ws, i, e, o: F.transform(F.coalesce(ws, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(i).alias("inner"), F.lit(e).alias("ends"), F.lit(o).alias("last")))
-    parts = [entry(inner(F.col(c)), 1, 0, 0) for c in texts + options] + [entry(closed(F.col(c)), 0, 1, 0) for c in texts + options] + [entry(last(F.col(c)), 0, 0, 1) for c in options]
-    return cards.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.word").agg(F.sum("x.inner").alias("inner"), F.sum("x.ends").alias("ends"), F.sum("x.last").alias("last"))
+    names = ["inner", "ends", "whole", "open"]
+    entry = lambda ws, kind: F.transform(F.coalesce(ws, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), *[F.lit(int(k == kind)).alias(k) for k in names]))
+    parts = [entry(inner(F.col(c)), "inner") for c in texts] + [entry(closed(F.col(c)), "ends") for c in texts] + [entry(last(F.col(c)), "whole") for c in wrong]
+    parts += [entry(F.array_compact(F.array(_open_word(c, option))), "open") for c, option in (("correct_option", True), ("expalanation", False))]
+    return cards.select(F.explode(F.concat(*parts)).alias("x")).groupBy("x.word").agg(*[F.sum(f"x.{k}").alias(k) for k in names])
 
 
 def defects(cards: DataFrame) -> DataFrame:
@@ -210,16 +228,10 @@ def defects(cards: DataFrame) -> DataFrame:
     """
     rows = cards.select(F.col("card_id").cast("bigint").alias("card_id"), "card_type", "question", "correct_option", "expalanation")
     judged = rows.mapInArrow(_judge, "card_id bigint, defect string")
-    field = lambda c, option: F.struct(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")).alias("t"), F.lit(option).alias("option"))
-    open_end = (
-        rows.select("card_id", F.explode(F.array(field("correct_option", True), field("expalanation", False))).alias("f"))
-        .where(F.col("f.t").rlike(r"[\p{L}\p{N}]$"))
-        .select("card_id", "f.option", F.regexp_extract(F.lower("f.t"), r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)$", 1).alias("word"), F.size(F.regexp_extract_all("f.t", F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("n"), F.lower("f.t").alias("t"))
-        .where(F.when(F.col("option"), F.col("n") >= 3).otherwise(F.col("n") >= 2) & ~F.col("t").isin(*sorted(NOTHING)))
-    )
-    uses = _word_uses(cards, ["question", "expalanation", "hint"], ["correct_option", "wrong_option_1", "wrong_option_2", "wrong_option_3"])
-    cut = open_end.join(uses, "word", "left").where(
-        ((F.coalesce("inner", F.lit(0)) + F.coalesce("ends", F.lit(0)) == 0) & (F.coalesce("last", F.lit(0)) < 3))
-        | ((F.col("inner") >= END_USES) & (F.col("ends") + F.when(F.col("option"), F.col("last")).otherwise(0) < END_SHARE * F.col("inner")))
+    field = lambda c, option: F.struct(_open_word(c, option).alias("word"), F.lit(option).alias("option"))
+    open_end = rows.select("card_id", F.explode(F.array(field("correct_option", True), field("expalanation", False))).alias("f")).where("f.word IS NOT NULL").select("card_id", "f.option", "f.word")
+    cut = open_end.join(_word_uses(cards), "word").where(
+        (F.col("open") > CUT_SHARE * (F.col("open") + F.col("inner") + F.col("ends") + F.col("whole")))
+        | ((F.col("inner") >= END_USES) & (F.col("ends") + F.when(F.col("option"), F.col("whole")).otherwise(0) < END_SHARE * F.col("inner")))
     )
     return judged.unionByName(cut.select("card_id", F.lit("truncated").alias("defect"))).distinct()

@@ -49,3 +49,14 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, cols)
     assert sorted(map(tuple, defects(df).collect())) == [(2, "copied"), (3, "empty"), (4, "truncated"), (5, "truncated"), (6, "other_language"), (6, "refusal")]
     assert defects(df.limit(0)).count() == 0
+
+
+def test_cut_words_do_not_vouch_for_each_other(spark):
+    cols = "card_id long, card_type string, question string, correct_option string, wrong_option_1 string, wrong_option_2 string, wrong_option_3 string, expalanation string, hint string"
+    ask = lambda i, opt, wrong: (i, "multiple-choice", f"Which part number {i} turns the wheel?", opt, wrong, None, None, "The wheel turns.", None)
+    rows = [ask(i, f"the {i} wheel of the pum", "the valve of the pump") for i in range(12)] + [ask(20 + i, f"the {i} stem of the pump", "the wheel") for i in range(6)]
+    rows += [ask(40 + i, f"the pipe {i} of the colo", "the wheel") for i in range(5)] + [ask(50, "the wheel", "the colo of the wheel")]
+    for times in (1, 10):  # the same shares at ten times the rows
+        df = spark.createDataFrame([(r[0] + 1000 * k, *r[1:]) for k in range(times) for r in rows], cols)
+        assert {r.card_id % 1000 for r in defects(df).collect()} == {*range(12), *range(40, 45)}
+        assert defects(df).count() == 17 * times
