@@ -34,6 +34,68 @@ def fact_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "^- ", ""), r"^(\(?[0-9]{1,2}[.)]|[•*▪]) +", "")
 
 
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Before and after a word, for engines whose word boundaries know ASCII only.
+_A, _B = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+_PARTS = "(?:module|unit|chapter|lesson|section|slide|page)"
+_SHOWN = "(?:covered|discussed|included|introduced|mentioned|presented)"
+_LABEL = "(?:title|heading|name|number|topic|focus|overview|content)"
+LIST_MARKER = r"^(?:[-•▪◦‣]|\p{Nd}+[.)]) ?"
+#: Forms of statements that are no facts, in the order in which they are looked for; for squeezed text, in the JVM and in RE2.
+NO_FACTS = {
+    "address": rf"(?i)(?:https?://|www\.|{_A}doi ?:)",
+    "question": "[?？]$",
+    "section_path": r"(?i)^(?:module|unit|chapter|lesson|section) ?[a-z0-9.-]* ?[:|>›→-]",
+    "objective": rf"(?i)^(?:(?:learning )?objectives?{_B}|(?:the )?(?:learner|student|reader)s? (?:will|should|can|must) )",
+    "presentation": rf"(?i)^(?:(?:this|the|the first|the current|first) (?:slide|page)|the module title|(?:this|the) (?:module|lesson|chapter|section) (?:introduces|covers|discusses|presents|contains|provides an overview of)"
+    rf"|(?:this|the) (?:content|material|presentation) (?:includes|contains|covers|discusses|introduces|presents|is titled)){_B}",
+    "presence_only": rf"(?i){_A}(?:is|are|was|were) (?:a |the )?(?:key )?(?:aspect|concept|item|part|section|topic)s? {_SHOWN} in{_B}",
+    "provenance": rf"(?i){_A}{_SHOWN} in (?:this|the) (?:module|lesson|chapter|section|slide|presentation){_B}",
+    "quote_meta": rf"(?i)^(?:the )?(?:quote|quotation) (?:by|from)[^\p{{L}}\p{{N}}_](?:.*[^\p{{L}}\p{{N}}_])?(?:mentions|states|says|describes){_B}",
+    "label": rf"(?i)^(?:(?:the )?{_LABEL} (?:of|for) (?:the )?{_PARTS}{_B}"
+    rf"|(?:the )?{_PARTS} (?:\p{{Nd}}+[a-z]?|[ivxlcdm]+)(?: ?[:|>-]| (?:{_LABEL}|is (?:sub)?titled|is named|is called|covers?|discusses?|focuses? on|provides? an? overview))"
+    rf"|(?:this|the) {_PARTS} (?:is )?(?:sub)?titled{_B}|content of (?:this|the) {_PARTS} (?:is (?:about|titled)|discusses|mentions|includes){_B})",
+}
+STRUCTURAL = ("title", "header", "heading", "objective")
+#: Raw slide text: first words that go on from something, ends that lead on, verbs that make a claim, and words.
+FRAGMENT_STARTS = "and or but it this these those that which who whose where when while because is are was were has have had can could may might must should would".split()
+FRAGMENT_END = rf"(?i)(?:[,;:/-]|{_A}(?:a|an|and|as|at|by|for|from|in|of|on|or|the|to|with))$"
+RELATION_VERB = (
+    rf"(?i){_A}(?:is|are|was|were|becomes?|(?:refer|mean|define|describe|include|contain|comprise|consist|involve|use|store|produce|convert|cause|affect|determine|require|enable|support|provide|allow|prevent|reduce|increase|improve"
+    rf"|measure|evaluate|represent|follow|precede|create|control|perform|occur|exist|depend|lead|result)s?|assesses?){_B}"
+)
+CONTENT_WORD = r"[A-Za-z0-9]+(?:['’-][A-Za-z0-9]+)*"
+
+
+def lesson_fact(c: Column) -> Column:
+    """One line without a leading dash and then a list marker of any kind; null is empty."""
+    x = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _SPACE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, "^- ", ""), LIST_MARKER, ""))
+
+
+def self_contained(s: Column) -> Column:
+    """Whether raw slide text, as ``lesson_fact`` gives it, states a claim on its own."""
+    first = F.regexp_extract(s, "^([A-Za-z]+)", 1)
+    words = F.regexp_extract_all(s, F.lit(f"({CONTENT_WORD})"), 1)
+    n, low = F.size(words), F.size(F.filter(words, lambda w: w.rlike("[a-z]")))
+    stopped = s.rlike("[.!]$")
+    return (
+        F.when((F.lower(first).isin(*FRAGMENT_STARTS) & (first != F.upper(first))) | s.rlike(FRAGMENT_END) | s.rlike(r"^[\p{Ll}ªº]") | (n < 2), False)
+        .when(n == 2, stopped & F.get(words, F.lit(1)).rlike("[a-z]"))
+        .otherwise(stopped | F.contains(s, F.lit(": ")) | s.rlike(RELATION_VERB) | ((n >= 8) & (low >= F.floor(n / 2))))
+    )
+
+
+def no_fact_reason(s: Column, topic: Column, kind: Column) -> Column:
+    """Why a statement, as ``lesson_fact`` gives it, is no usable lesson fact; null for those that are kept."""
+    about, sort = lesson_fact(topic), F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    reason = F.when(F.lower(s).isin("", "not specified", "[unreadable text]"), "missing").when((F.length(s) < 5) | ~F.contains(s, F.lit(" ")), "short")
+    reason = reason.when((about != "") & (normal_form(s) == normal_form(about)), "topic")
+    for name, form in NO_FACTS.items():
+        reason = reason.when(s.rlike(form), name)
+    return reason.when(sort.isin(*STRUCTURAL), "structural").when((sort == "content") & ~self_contained(s), "not_self_contained")
+
+
 def tokens(c: Column) -> Column:
     """Runs of ASCII letters and digits, lower-cased."""
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)

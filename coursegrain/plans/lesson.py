@@ -103,6 +103,28 @@ def flt1_fact_filter(spark: SparkSession, d: str) -> DataFrame:
     return _facts(spark, d).select("fact_row", reason.alias("reason"))
 
 
+def _lesson_fact(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '{L._SPACE}', ' ', 'g')), '^- ', ''), '{L.LIST_MARKER}', ''))"
+
+
+_WORDS = "regexp_extract_all(s, '{0}')".format(L.CONTENT_WORD.replace("'", "''"))
+_NORMAL = "array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' ')"
+
+
+@query(rf"""WITH f AS (SELECT fact_row, {_lesson_fact('statement')} AS s, {_lesson_fact('topic')} AS about, lower(trim(coalesce(kind, ''))) AS sort FROM facts),
+w AS (SELECT *, {_WORDS} AS words, regexp_extract(s, '^[A-Za-z]+') AS first FROM f),
+c AS (SELECT *, CASE WHEN list_contains([{', '.join(f"'{x}'" for x in L.FRAGMENT_STARTS)}], lower(first)) AND first <> upper(first) THEN false
+  WHEN regexp_matches(s, '{L.FRAGMENT_END}') OR regexp_matches(s, '^[\p{{Ll}}ªº]') OR len(words) < 2 THEN false WHEN len(words) = 2 THEN regexp_matches(s, '[.!]$') AND regexp_matches(words[2], '[a-z]')
+  ELSE regexp_matches(s, '[.!]$') OR contains(s, ': ') OR regexp_matches(s, '{L.RELATION_VERB}') OR (len(words) >= 8 AND len(list_filter(words, lambda x: regexp_matches(x, '[a-z]'))) >= len(words) // 2) END AS alone FROM w)
+SELECT fact_row, s AS statement, CASE WHEN lower(s) IN ('', 'not specified', '[unreadable text]') THEN 'missing' WHEN length(s) < 5 OR NOT contains(s, ' ') THEN 'short' WHEN about <> '' AND {_NORMAL.format('s')} = {_NORMAL.format('about')} THEN 'topic'
+ {' '.join(f"WHEN regexp_matches(s, '{form}') THEN '{name}'" for name, form in L.NO_FACTS.items())}
+ WHEN sort IN ('title', 'header', 'heading', 'objective') THEN 'structural' WHEN sort = 'content' AND NOT alone THEN 'not_self_contained' END AS reason FROM c""")
+def flt1_lesson_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its cleaned statement and the reason why it is no lesson fact, null for the facts that are kept."""
+    f = table(spark, d, "facts", "fact_row", "statement", "topic", "kind").withColumn("statement", L.lesson_fact(F.col("statement")))
+    return f.select("fact_row", "statement", L.no_fact_reason(F.col("statement"), F.col("topic"), F.col("kind")).alias("reason"))
+
+
 @query(f"""WITH {_FACTS}, g AS (SELECT course_code, module_number, form, count(*) AS n_rows, arg_max(fact_row, (listing, len(content), -fact_row)) AS fact_row FROM n WHERE form <> '' GROUP BY ALL),
 u AS (SELECT course_code, module_number, form, list_sort(list(DISTINCT slide)) AS slides FROM (SELECT course_code, module_number, form, unnest(slides) AS slide FROM n) WHERE slide > 0 GROUP BY ALL)
 SELECT g.course_code, g.module_number, g.form, n_rows, fact_row, array_to_string(slides, ';') AS slides FROM g LEFT JOIN u USING (course_code, module_number, form)""")

@@ -22,6 +22,25 @@ def test_text_functions(spark, f, text, want):
     assert one(spark, text, f) == want
 
 
+FACTS = [
+    ("- 3) The  pump moves\u00a0water.", None, "content", None), ("◦ A pump moves water.", "", "content", None), (None, None, None, "missing"), ("[Unreadable Text]", None, None, "missing"), ("Pump.", None, None, "short"), ("The Pump!", "- the pump", None, "topic"), ("水 は冷たい。", None, None, None),
+    ("See DOI : 10.1/x now", None, None, "address"), ("Why is it cold?", None, None, "question"), ("Module 3: Pumps", None, None, "section_path"), ("Section - basics of pumps", None, None, "section_path"), ("Learning objectives of today", None, None, "objective"),
+    ("Students will be able to pump.", None, None, "objective"), ("The first slide shows a pump.", None, None, "presentation"), ("This lesson covers pumps.", None, None, "presentation"), ("The lesson coverslip is thin.", None, None, None), ("Heat is a key topic discussed in class.", None, None, "presence_only"),
+    ("Pumps, as mentioned in this chapter, move water.", None, None, "provenance"), ("The quote by Cicero says that pumps work.", None, None, "quote_meta"), ("Quote from says it all", None, None, "quote_meta"), ("The title of Module 3 is Pumps.", None, None, "label"),
+    ("Module 3 is titled Pumps.", None, None, "label"), ("Module 3 | title | Pumps", None, None, "section_path"), ("The module is titled Pumps.", None, None, "label"), ("Content of this slide mentions pumps.", None, None, "label"), ("A software module exposes a public interface.", None, None, None),
+    ("A document title identifies a work.", None, None, None), ("A pump moves water.", None, " Heading", "structural"), ("the pump moves water.", None, "Content", "not_self_contained"), ("the pump moves water.", None, "definition", None), ("It moves water.", None, "content", "not_self_contained"),
+    ("IT moves water.", None, "content", None), ("The pump moves water to", None, "content", "not_self_contained"), ("Pumps move.", None, "content", None), ("Pumps 12.", None, "content", "not_self_contained"), ("Pumps Valves Pipes", None, "content", "not_self_contained"), ("Pumps: valves and pipes", None, "content", None),
+    ("Pressure increases with depth below", None, "content", None), ("Éste es el éxito", None, "content", "not_self_contained"), ("Old pumps often move cold water along long pipes", None, "content", None), ("Old Pumps Often Move Cold Water Along Pipes", None, "content", None), ("OLD PUMPS OFTEN MOVE COLD WATER ALONG PIPES", None, "content", "not_self_contained"),
+]
+
+
+def test_lesson_fact_reasons(spark):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(FACTS)], "k int, s string, topic string, kind string, want string").withColumn("s", L.lesson_fact(F.col("s")))
+    got = df.select("k", "s", "want", L.no_fact_reason(F.col("s"), F.col("topic"), F.col("kind")).alias("reason")).orderBy("k").collect()
+    assert [(r.s, r.reason) for r in got] == [(r.s, r.want) for r in got]
+    assert [r.s for r in got[:2]] == ["The pump moves water.", "A pump moves water."]
+
+
 def test_durations(spark):
     df = spark.createDataFrame([(x,) for x in (0.5, 61.4, 3600.0)], "s double").select(L.duration(F.col("s")).alias("x"))
     assert [r.x for r in df.collect()] == ["0s", "1m 01s", "1h 00m 00s"]
