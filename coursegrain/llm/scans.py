@@ -3,7 +3,8 @@
 Misread words are found in SQL by anagram hashes: a word's hash is the sum of the fifth powers of its code points, so putting the
 right characters for confused ones changes it by a fixed difference. Rare words are joined on hash plus difference with frequent
 words, and a hit is verified by really making the replacement. Headers are edge lines that other numbers of the module repeat, up
-to confusable characters; page numbers are edge lines of nothing else; hyphens need their word to go on in the next line.
+to confusable characters; page numbers are edge lines of nothing else; hyphens need their word to go on in the next line, and stay in the
+repaired text where the other lines have the word with its hyphen more often than without.
 """
 
 from __future__ import annotations
@@ -131,13 +132,30 @@ def _line_words(c: Column) -> Column:
     return F.filter(F.split(F.lower(whole), rf"[^\p{{L}}\p{{N}}|]+"), lambda w: w != "")
 
 
-def misread_words(lines: DataFrame) -> DataFrame:
+def _word_counts(lines: DataFrame) -> DataFrame:
+    """(word, n): the uses of each word of the lines."""
+    words = lines.select(F.explode(_line_words(F.col("line"))).alias("word"))
+    return cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+
+
+def true_hyphens(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_table, item_id, line_no) of the lines that break a compound at its own hyphen: inside lines it is written with it more often than as one word."""
+    w, keys = r"[\p{L}\p{N}]", ["item_table", "item_id", "line_no"]
+    left = F.regexp_extract(F.lower("line"), rf"(?<!{w})({w}++)[{HYPHENS}]\s*+$", 1)
+    right = F.regexp_extract(F.lower("after"), rf"^\s*({w}++)", 1)
+    broken = lines.where(_goes_on()).select(*keys, F.concat(left, right).alias("word"), F.concat_ws("-", left, right).alias("compound"))
+    inside = F.regexp_extract_all(F.translate(F.lower("line"), "\u2010\u2011", "--"), F.lit(rf"(?<!{w})(?=({w}++-{w}++))"), 1)
+    compounds = lines.where(F.col("line").rlike(rf"[-\u2010\u2011]{w}")).select(F.explode(inside).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("hyphened"))
+    attested = broken.select("word", "compound").distinct().join(compounds, "compound").join(counts, "word", "left").where(F.col("hyphened") > F.coalesce("n", F.lit(0)))
+    return broken.join(attested.select("compound").distinct(), "compound", "left_semi").select(*keys).distinct()
+
+
+def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(word, variant): rare words that become a frequent word of letters when one or two confused characters are put right.
 
     The most frequent variant is taken (ties: fewest changes, then the first by name).
     """
-    words = lines.select(F.explode(_line_words(F.col("line"))).alias("word"))
-    counts = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counts = _word_counts(lines) if counts is None else counts
     frequent = counts.where((F.col("n") >= LEAST_USES) & F.col("word").rlike(r"^\p{L}{3,40}$")).select(F.col("word").alias("variant"), F.col("n").alias("m"), _hash(F.col("word")).alias("h"))
     changes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(_value(r) - _value(w)).cast("bigint").alias("d")) for w, r in CONFUSED])
     rare = counts.where((F.length("word") >= 3) & (F.length("word") <= 40) & F.col("word").rlike(r"\p{L}")).select("word", "n", _hash(F.col("word")).alias("g"), F.filter(changes, lambda x: F.contains(F.col("word"), x["w"])).alias("c"))
@@ -162,9 +180,9 @@ def misread_words(lines: DataFrame) -> DataFrame:
     return verified.groupBy("word").agg(best.alias("x")).select("word", F.col("x.variant").alias("variant"))
 
 
-def misread_places(lines: DataFrame) -> DataFrame:
+def misread_places(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(item_table, item_id, line_no, word, variant) of the misread words of each line."""
-    wrong = cut(misread_words(lines))
+    wrong = cut(misread_words(lines, counts))
     if wrong.count() <= BROADCAST_WORDS:
         wrong = F.broadcast(wrong)
     spots = lines.select("item_table", "item_id", "line_no", F.explode(_line_words(F.col("line"))).alias("word"))
@@ -186,17 +204,20 @@ def noisy_lines(pages: DataFrame, slides: DataFrame) -> DataFrame:
 def repaired(pages: DataFrame, slides: DataFrame) -> DataFrame:
     """(item_table, item_id, text): each item as paragraphs, one a line, without edge lines, with broken and misread words put right.
 
-    Blank lines part paragraphs. An item of noise only has the empty text.
+    A compound that is broken at its own hyphen keeps it. Blank lines part paragraphs. An item of noise only has the empty text.
     """
     items = pages.unionByName(slides)
     lines = _lines(items)
     keys = ["item_table", "item_id", "line_no"]
     edges = edge_lines(items).select(*keys).distinct().withColumn("drop", F.lit(True))
-    fixes = misread_places(lines).distinct().groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("word", "variant"))).alias("fixes"))
+    counts = _word_counts(lines)
+    hyphens = true_hyphens(lines, counts).withColumn("hyphen", F.lit("-"))
+    fixes = misread_places(lines, counts).distinct().groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("word", "variant"))).alias("fixes"))
     goes_on = F.coalesce(_goes_on(), F.lit(False))
     put = "aggregate(coalesce(fixes, cast(array() as array<struct<word:string,variant:string>>)), s, (t, f) -> regexp_replace(t, concat('(?iu)(?<![\\\\p{L}\\\\p{N}])\\\\Q', f.word, '\\\\E(?![\\\\p{L}\\\\p{N}])'), f.variant))"
     flat = (
-        lines.dropDuplicates(keys).select(*keys, F.when(goes_on, F.regexp_replace("line", rf"[{HYPHENS}]\s*$", "")).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.trim("line") == "").alias("blank"))
+        lines.dropDuplicates(keys).join(hyphens, keys, "left")
+        .select(*keys, F.when(goes_on, F.concat(F.regexp_replace("line", rf"[{HYPHENS}]\s*$", ""), F.coalesce("hyphen", F.lit("")))).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.trim("line") == "").alias("blank"))
         .join(edges, keys, "left").join(fixes, keys, "left")
         .select(*keys, F.when(F.col("drop"), "").when(F.col("blank"), "\n").otherwise(F.expr(put)).alias("s"))
     )

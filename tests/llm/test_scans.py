@@ -39,3 +39,12 @@ def test_lines_and_repair(spark):
 def test_two_changes(spark):
     df = spark.createDataFrame([(1, "C", "1", 1, "\n".join(["collected"] * 20 + ["collcctcd", "co1lected"]))], "page_id long, course_code string, module_number string, number int, text string")
     assert {(r.word, r.variant) for r in misread_words(_lines(page_lines(df))).collect()} == {("collcctcd", "collected"), ("co1lected", "collected")}
+
+
+def test_compounds_keep_their_hyphen(spark):
+    inside = "\n".join(["Ang guro ay nag-aayos ng mesa, at nag-aayos siya muli.", "The water was well-known, and the coopera-tion too.", "The cooperation of the cooperation."])
+    pages = [(1, "C", "1", 1, inside), (2, "C", "1", 2, "Siya ay nag-\naayos ng mesa."), (3, "C", "1", 3, "Bukas ang Nag\u00ad\naayos na"), (4, "C", "1", 4, "the coopera-\ntion of wa-\nter"), (5, "C", "1", 5, "It is very-well-\nknown here")]
+    p = spark.createDataFrame(pages, "page_id long, course_code string, module_number string, number int, text string")
+    s = spark.createDataFrame([], "slide_id long, course_code string, module_number string, number int, visual_text array<string>")
+    text = {r.item_id: r.text for r in repaired(page_lines(p), slide_lines(s)).collect()}
+    assert [text[k] for k in (2, 3, 4, 5)] == ["Siya ay nag-aayos ng mesa.", "Bukas ang Nag-aayos na", "the cooperation of water", "It is very-well-known here"]
