@@ -19,7 +19,8 @@ from pyspark.sql import Window as W
 EDITS, SHORT = 2, 4
 #: Words that may stand before or after a form without changing what it means.
 LEADING, TRAILING = ("is", "are", "was", "were", "be", "been"), ("the", "a", "an")
-#: A spelling two edits away that is as common as this share of the form itself is a word of its own, not a slip.
+#: A spelling two edits away that is as common as this share of the form itself is a word of its own, not a slip; a swap of two
+#: neighbours is one edit here, though levenshtein counts two.
 OWN_WORD_SHARE, OWN_WORD_ROWS = 0.12, 5
 UNMATCHED = "unmatched"
 
@@ -34,6 +35,12 @@ def _edits(length: Column) -> Column:
     return F.when(length <= SHORT, 1).otherwise(EDITS)
 
 
+def _swapped(v: Column, form: Column) -> Column:
+    """Whether two neighbouring characters of the one stand the other way round in the other."""
+    turned = lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.lit(1)), F.substring(v, i, F.lit(1)), F.substring(v, i + 2, F.length(v)))
+    return (F.length(v) == F.length(form)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(v) - 1, F.lit(1))), lambda i: turned(i) == form)
+
+
 def reference_forms(reference: DataFrame, code: str, forms: list[Column]) -> DataFrame:
     """(code, form): each form of each entry as letters and digits only; blank and null forms are left out.
 
@@ -93,7 +100,8 @@ def matched_spellings(values: DataFrame, column: str, forms: DataFrame) -> DataF
     )
     # how often the form itself is written, among all rows, and whether the spelling is a word of its own
     exact = counted.select(F.replace("plain", F.lit(" "), F.lit("")).alias("form"), F.col("n").alias("m")).groupBy("form").agg(F.sum("m").alias("m"))
-    judged = near.join(exact, "form", "left").where(~((F.col("distance") >= 2) & (F.col("n") >= OWN_WORD_ROWS) & (F.col("n") >= OWN_WORD_SHARE * F.coalesce("m", F.lit(0)))))
+    two = (F.col("distance") >= 2) & ~_swapped(F.col("v"), F.col("form"))
+    judged = near.join(exact, "form", "left").where(~(two & (F.col("n") >= OWN_WORD_ROWS) & (F.col("n") >= OWN_WORD_SHARE * F.coalesce("m", F.lit(0)))))
     best = F.min(F.struct((F.col("distance") + F.col("cost")).alias("total"), "distance", (-F.length("form")).alias("size"), "code"))  # at most a few candidates a spelling
     return judged.groupBy("plain").agg(best.alias("b")).select("plain", F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
 

@@ -31,3 +31,11 @@ def test_empty_tables_and_own_words(spark):
     assert got[0] == "causes" and got[100] == "unmatched" and got[200] == "causes"
     assert canonical_values(df.limit(0), "triple_id", "relation", ref, "relation_code").count() == 0
     assert {r.relation_code for r in canonical_values(df, "triple_id", "relation", ref.limit(0), "relation_code").collect()} == {"unmatched"}
+
+
+def test_hot_swaps_are_no_own_words(spark):
+    written = ["brings about"] * 10 + ["brings aobut"] * 40 + ["sings about"] * 9 + ["crebted bx"] * 9
+    df = spark.createDataFrame(list(enumerate(written)), "triple_id long, relation string")
+    ref = forms(spark, [("causes", "brings about", []), ("created_by", "created by", [])])
+    got = {(written[r.triple_id], r.relation_code) for r in canonical_values(df, "triple_id", "relation", ref, "relation_code").collect()}
+    assert got == {("brings about", "causes"), ("brings aobut", "causes"), ("sings about", "unmatched"), ("crebted bx", "unmatched")}
