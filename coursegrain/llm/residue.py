@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 ORDERS = (1, 2, 3, 4, 5)
 WEIGHTS = (0.02, 0.06, 0.14, 0.28, 0.5)
 BITS, FLOOR = 17, 1e-5
-#: Documents of the corpus that the model of natural prose is fitted on, at most, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 3000
+#: Documents of the corpus that the model of natural prose is fitted on, at most, each in full.
+SAMPLE_DOCS = 3000
 WINDOW, THRESHOLD, COVER = 28, 5.0, 8
 #: Times that the natural examples count beside the sample, and the nats a character by which a line of the sample must be better
 #: explained by a model fitted on the sample than by any residue model, to be taken for natural at first.
@@ -298,7 +298,7 @@ class Models:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Models:
     """Models whose natural prose comes from the SAMPLE_DOCS documents of the smallest hashed keys (fewer if there are fewer)."""
-    rows = docs.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "k").limit(SAMPLE_DOCS).collect()
+    rows = docs.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t")).orderBy("h", "k").limit(SAMPLE_DOCS).collect()
     return Models([r["t"] for r in rows])
 
 

@@ -1,4 +1,4 @@
-from coursegrain.llm.residue import Models, residue
+from coursegrain.llm.residue import Models, fit, residue
 
 PROSE = ["The pump moves the water because the valve opens the pipe.", "Students compare the lens with the mirror of the long tube.", "Each cell has a wall, a core and a store of salt.", "When the river is cold, the wheel turns again."]
 BAD = [
@@ -22,3 +22,9 @@ def test_rows(spark):
     assert sorted(r.doc_id for r in got) == sorted([*range(len(BAD)), 2])
     assert {r.kind for r in got} == {"placeholder", "filler", "error", "scripts"}
     assert residue(df.limit(0)).count() == 0
+
+
+def test_tails_of_long_texts_are_fitted(spark):
+    long = " ".join(PROSE * 30)
+    a, b = (fit(spark.createDataFrame([(1, long + tail)], "doc_id long, text string")).natural for tail in ("", " Jupiter quickly vexed five zephyrs by the way." * 9))
+    assert len(long) > 3000 and (a != b).any()
