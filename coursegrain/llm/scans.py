@@ -3,8 +3,9 @@
 Misread words are found in SQL by anagram hashes: a word's hash is the sum of the fifth powers of its code points, so putting the
 right characters for confused ones changes it by a fixed difference. Rare words are joined on hash plus difference with frequent
 words, and a hit is verified by really making the replacement. Headers are edge lines that other numbers of the module repeat, up
-to confusable characters; page numbers are edge lines of nothing else; hyphens need their word to go on in the next line, and stay in the
-repaired text where the other lines have the word with its hyphen more often than without.
+to confusable characters; page numbers are edge lines of nothing else; hyphens need their word to go on in the next line, which the other
+lines decide: they have the word, or its compound, or at least not its second part alone. In the repaired text the hyphen stays where the
+other lines have the word with it more often than without.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ _SAME = [("ri", "n"), ("rn", "m"), ("nn", "m"), ("vv", "w"), ("ei", "d"), ("ii",
 SENTINELS = ("not specified", "[unreadable text]", "unreadable text", "n/a")
 HYPHENS = "\\-\u00ad\u00ac\u2010\u2011"
 HYPHEN_MARKS = ("-", "\u00ad", "\u00ac", "\u2010", "\u2011")
+#: Signs that a header has at least; fewer are bullets and marks that any page may have.
+LEAST_SIGNS = 5
 #: A misread word is at most this share as frequent as its variant, which must occur so often.
 RARE_SHARE, LEAST_USES = 0.25, 4
 #: Misread words up to which their table goes to all executors; beyond it the join is shuffled.
@@ -70,7 +73,7 @@ def _skeleton(c: Column) -> Column:
 
 
 def _is_number(c: Column) -> Column:
-    return F.length(F.trim(c)).between(1, 30) & F.trim(c).rlike(PAGE_NUMBER)
+    return (F.trim(c) != "") & F.trim(c).rlike(PAGE_NUMBER)
 
 
 def edge_lines(items: DataFrame) -> DataFrame:
@@ -87,9 +90,10 @@ def edge_lines(items: DataFrame) -> DataFrame:
     place = lambda i: F.struct((F.get("full", i) + 1).cast("bigint").alias("line_no"), i.alias("from_top"), (F.size("full") - 1 - i).alias("from_end"), _bare(F.get("lines", F.get("full", i))).alias("line"))
     outer = F.filter(F.sequence(F.lit(0), F.size("full") - 1), lambda i: (i <= 1) | (i >= F.size("full") - 2))
     edge = base.where("size(full) > 0").select(*keys, "course_code", "module_number", "number", F.explode(F.transform(outer, place)).alias("e")).select(*keys, "course_code", "module_number", "number", "e.*")
-    edge = edge.where(F.length("line") <= 120).withColumn("is_number", _is_number(F.col("line")))
+    edge = edge.withColumn("is_number", _is_number(F.col("line")))
     skel = F.when(~F.col("is_number") & ~F.trim("line").rlike(r"[.!?;,。][\"”»')]?$") & ~F.lower(F.trim("line")).isin(*SENTINELS), _skeleton(F.col("line")))
-    named = cut(edge.select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", "is_number", skel.alias("skel")).where("is_number OR length(skel) >= 5"))
+    signs = F.when(F.length(skel) >= LEAST_SIGNS, F.struct(F.xxhash64(skel), F.length(skel)))  # lines of any length meet on their hash
+    named = cut(edge.select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", "is_number", signs.alias("skel")).where("is_number OR skel IS NOT NULL"))
     module = ["course_code", "module_number", "skel"]
     seen = named.where("skel IS NOT NULL").select(*module, "number").distinct().groupBy(*module).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     hit = named.where("skel IS NOT NULL").join(seen.select(*module), module, "left_semi").select(*keys, "line_no", "from_top", "from_end", F.lit("header").alias("noise"))
@@ -106,19 +110,23 @@ def _goes_on() -> Column:
     return F.right(F.rtrim("line"), F.lit(1)).isin(*HYPHEN_MARKS) & F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]\s*$") & F.col("after").rlike(r"^\s*\p{L}")
 
 
-def hyphen_lines(lines: DataFrame) -> DataFrame:
-    """The lines whose last word goes on in the next."""
-    return lines.where(_goes_on()).select("item_table", "item_id", "line_no", F.lit("hyphen").alias("noise"))
+def _first_part() -> Column:
+    w = r"[\p{L}\p{N}]"
+    return F.regexp_extract(F.lower("line"), rf"(?<!{w})({w}++)[{HYPHENS}]\s*+$", 1)
+
+
+def _rest_part() -> Column:
+    return F.regexp_extract(F.lower("after"), r"^\s*([\p{L}\p{N}]++)", 1)
 
 
 def _hash(c: Column) -> Column:
-    """Of a word's first 40 characters, which are all of the words that are looked at."""
+    """The sum of the fifth powers of a word's code points, whatever their order."""
 
     def value(x: Column) -> Column:
         a = F.ascii(x).cast("bigint")
         return F.when(a < 1024, a * a * a * a * a).otherwise(a * 1000003)
 
-    return F.aggregate(F.filter(F.split(F.substring(c, 1, 40), ""), lambda x: x != ""), F.lit(0).cast("bigint"), lambda s, x: s + value(x))
+    return F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("bigint"), lambda s, x: s + value(x))
 
 
 def _value(s: str) -> int:
@@ -138,16 +146,24 @@ def _word_counts(lines: DataFrame) -> DataFrame:
     return cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def true_hyphens(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_table, item_id, line_no) of the lines that break a compound at its own hyphen: inside lines it is written with it more often than as one word."""
-    w, keys = r"[\p{L}\p{N}]", ["item_table", "item_id", "line_no"]
-    left = F.regexp_extract(F.lower("line"), rf"(?<!{w})({w}++)[{HYPHENS}]\s*+$", 1)
-    right = F.regexp_extract(F.lower("after"), rf"^\s*({w}++)", 1)
-    broken = lines.where(_goes_on()).select(*keys, F.concat(left, right).alias("word"), F.concat_ws("-", left, right).alias("compound"))
+def broken_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """(first, rest, goes_on, hyphened): the distinct pairs of word parts that stand on both sides of a break, and what the other lines say of them.
+
+    ``hyphened``: inside lines the two are written with a hyphen more often than as one word, so the compound keeps it. ``goes_on`` is
+    false where nothing speaks for a broken word: neither form is written anywhere, while the second part is a word of other lines
+    by itself ("pre-" and "and").
+    """
+    w = r"[\p{L}\p{N}]"
+    pairs = lines.where(_goes_on()).select(_first_part().alias("first"), _rest_part().alias("rest")).groupBy("first", "rest").agg(F.count(F.lit(1)).alias("breaks"))
     inside = F.regexp_extract_all(F.translate(F.lower("line"), "\u2010\u2011", "--"), F.lit(rf"(?<!{w})(?=({w}++-{w}++))"), 1)
-    compounds = lines.where(F.col("line").rlike(rf"[-\u2010\u2011]{w}")).select(F.explode(inside).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("hyphened"))
-    attested = broken.select("word", "compound").distinct().join(compounds, "compound").join(counts, "word", "left").where(F.col("hyphened") > F.coalesce("n", F.lit(0)))
-    return broken.join(attested.select("compound").distinct(), "compound", "left_semi").select(*keys).distinct()
+    compounds = lines.where(F.col("line").rlike(rf"[-\u2010\u2011]{w}")).select(F.explode(inside).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("with_hyphen"))
+    own = pairs.groupBy("rest").agg(F.sum("breaks").alias("as_rest")).join(counts.select(F.col("word").alias("rest"), F.col("n").alias("rest_uses")), "rest")
+    known = (
+        pairs.withColumn("compound", F.concat_ws("-", "first", "rest")).join(compounds, "compound", "left")
+        .withColumn("word", F.concat("first", "rest")).join(counts, "word", "left").join(own, "rest", "left")
+    )
+    written = F.col("n").isNotNull() | F.col("with_hyphen").isNotNull()
+    return known.select("first", "rest", (written | ~F.coalesce(F.col("rest_uses") > F.col("as_rest"), F.lit(False))).alias("goes_on"), (F.coalesce("with_hyphen", F.lit(0)) > F.coalesce("n", F.lit(0))).alias("hyphened"))
 
 
 def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -156,9 +172,9 @@ def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFram
     The most frequent variant is taken (ties: fewest changes, then the first by name).
     """
     counts = _word_counts(lines) if counts is None else counts
-    frequent = counts.where((F.col("n") >= LEAST_USES) & F.col("word").rlike(r"^\p{L}{3,40}$")).select(F.col("word").alias("variant"), F.col("n").alias("m"), _hash(F.col("word")).alias("h"))
+    frequent = counts.where((F.col("n") >= LEAST_USES) & F.col("word").rlike(r"^\p{L}{3,}$")).select(F.col("word").alias("variant"), F.col("n").alias("m"), _hash(F.col("word")).alias("h"))
     changes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(_value(r) - _value(w)).cast("bigint").alias("d")) for w, r in CONFUSED])
-    rare = counts.where((F.length("word") >= 3) & (F.length("word") <= 40) & F.col("word").rlike(r"\p{L}")).select("word", "n", _hash(F.col("word")).alias("g"), F.filter(changes, lambda x: F.contains(F.col("word"), x["w"])).alias("c"))
+    rare = counts.where((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}")).select("word", "n", _hash(F.col("word")).alias("g"), F.filter(changes, lambda x: F.contains(F.col("word"), x["w"])).alias("c"))
     one = rare.select("word", "n", "g", F.explode("c").alias("a"), "c")
     # one change, or two of them; the second may only follow in the list, or repeat
     probes = one.select("word", "n", "a", F.explode(F.concat(F.array(F.lit(None).cast("struct<w:string,r:string,d:bigint>")), F.filter("c", lambda x: (x["w"] > F.col("a.w")) | ((x["w"] == F.col("a.w")) & (x["r"] >= F.col("a.r")))))).alias("b"), "g")
@@ -180,13 +196,27 @@ def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFram
     return verified.groupBy("word").agg(best.alias("x")).select("word", F.col("x.variant").alias("variant"))
 
 
-def misread_places(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """(item_table, item_id, line_no, word, variant) of the misread words of each line."""
-    wrong = cut(misread_words(lines, counts))
-    if wrong.count() <= BROADCAST_WORDS:
-        wrong = F.broadcast(wrong)
-    spots = lines.select("item_table", "item_id", "line_no", F.explode(_line_words(F.col("line"))).alias("word"))
-    return spots.join(wrong, "word")
+#: What stands for a line's break among its words, so that breaks and words leave the text in one pass; no word holds a blank.
+_BREAK = " "
+
+
+def noisy_places(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_table, item_id, line_no, word, variant, hyphened) of the misread words of each line and of its break, where word is null.
+
+    One pass over the lines: their words, and a break as one more, meet the few words and breaks that are noise.
+    """
+    wrong = misread_words(lines, counts).select("word", "variant", F.lit(None).cast("boolean").alias("hyphened"))
+    breaks = broken_words(lines, counts).where("goes_on").select(F.concat_ws(_BREAK, "first", "rest").alias("word"), F.lit(None).cast("string").alias("variant"), "hyphened")
+    noise = cut(wrong.unionByName(breaks))
+    if noise.count() <= BROADCAST_WORDS:
+        noise = F.broadcast(noise)
+    tokens = F.concat(_line_words(F.col("line")), F.when(_goes_on(), F.array(F.concat_ws(_BREAK, _first_part(), _rest_part()))).otherwise(F.array().cast("array<string>")))
+    spots = lines.select("item_table", "item_id", "line_no", F.explode(tokens).alias("word"))
+    return spots.join(noise, "word").withColumn("word", F.when(F.col("hyphened").isNull(), F.col("word")))
+
+
+#: Bits of the kinds of noise.
+KINDS = ("hyphen", "misread", "header", "page_number")
 
 
 def noisy_lines(pages: DataFrame, slides: DataFrame) -> DataFrame:
@@ -195,10 +225,15 @@ def noisy_lines(pages: DataFrame, slides: DataFrame) -> DataFrame:
     Null, empty and blank texts and lines give none; repeated items give their lines once.
     """
     items = pages.unionByName(slides)
-    lines, edges = _lines(items), cut(edge_lines(items))
+    lines = _lines(items)
     keys = ["item_table", "item_id", "line_no"]
-    inner = hyphen_lines(lines).unionByName(misread_places(lines).select(*keys, F.lit("misread").alias("noise")))
-    return inner.join(edges.select(*keys), keys, "left_anti").unionByName(edges.select(*keys, "noise")).distinct()
+    inner = noisy_places(lines, _word_counts(lines)).select(*keys, F.when(F.col("word").isNull(), 1).otherwise(2).alias("kind"))
+    edges = edge_lines(items).select(*keys, F.when(F.col("noise") == "header", 4).otherwise(8).alias("kind"))
+    # only lines with noise are shuffled, as numbers; an edge line wins over what else it has
+    found = inner.unionByName(edges).groupBy(*keys).agg(F.bit_or("kind").alias("kinds"))
+    won = F.when(F.col("kinds") >= 4, F.col("kinds").bitwiseAND(12)).otherwise(F.col("kinds"))
+    named = F.array_compact(F.array(*[F.when(won.bitwiseAND(1 << k) > 0, F.lit(n)) for k, n in enumerate(KINDS)]))
+    return found.select(*keys, F.explode(named).alias("noise"))
 
 
 def repaired(pages: DataFrame, slides: DataFrame) -> DataFrame:
@@ -210,15 +245,14 @@ def repaired(pages: DataFrame, slides: DataFrame) -> DataFrame:
     lines = _lines(items)
     keys = ["item_table", "item_id", "line_no"]
     edges = edge_lines(items).select(*keys).distinct().withColumn("drop", F.lit(True))
-    counts = _word_counts(lines)
-    hyphens = true_hyphens(lines, counts).withColumn("hyphen", F.lit("-"))
-    fixes = misread_places(lines, counts).distinct().groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("word", "variant"))).alias("fixes"))
-    goes_on = F.coalesce(_goes_on(), F.lit(False))
+    places = noisy_places(lines, _word_counts(lines)).groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "variant")))).alias("fixes"), F.bool_or("hyphened").alias("hyphened")
+    )
+    hyphen = F.when(F.col("hyphened"), "-").otherwise("")
     put = "aggregate(coalesce(fixes, cast(array() as array<struct<word:string,variant:string>>)), s, (t, f) -> regexp_replace(t, concat('(?iu)(?<![\\\\p{L}\\\\p{N}])\\\\Q', f.word, '\\\\E(?![\\\\p{L}\\\\p{N}])'), f.variant))"
     flat = (
-        lines.dropDuplicates(keys).join(hyphens, keys, "left")
-        .select(*keys, F.when(goes_on, F.concat(F.regexp_replace("line", rf"[{HYPHENS}]\s*$", ""), F.coalesce("hyphen", F.lit("")))).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.trim("line") == "").alias("blank"))
-        .join(edges, keys, "left").join(fixes, keys, "left")
+        lines.dropDuplicates(keys).join(places, keys, "left").join(edges, keys, "left")
+        .select(*keys, "fixes", "drop", F.when(F.col("hyphened").isNotNull(), F.concat(F.regexp_replace("line", rf"[{HYPHENS}]\s*$", ""), hyphen)).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.trim("line") == "").alias("blank"))
         .select(*keys, F.when(F.col("drop"), "").when(F.col("blank"), "\n").otherwise(F.expr(put)).alias("s"))
     )
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]), "")

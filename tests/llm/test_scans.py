@@ -48,3 +48,23 @@ def test_compounds_keep_their_hyphen(spark):
     s = spark.createDataFrame([], "slide_id long, course_code string, module_number string, number int, visual_text array<string>")
     text = {r.item_id: r.text for r in repaired(page_lines(p), slide_lines(s)).collect()}
     assert [text[k] for k in (2, 3, 4, 5)] == ["Siya ay nag-aayos ng mesa.", "Bukas ang Nag-aayos na", "the cooperation of water", "It is very-well-known here"]
+
+
+def test_breaks_need_evidence(spark):
+    pages = [(1, "C", "1", 1, "It was pre-\nand post-tested."), (2, "C", "1", 2, "salt and water\nof the coopera-\ntion"), (3, "C", "1", 3, "the cooperation"), (4, "C", "1", 4, "a zorb-\nlit mirror")]
+    p = spark.createDataFrame(pages, "page_id long, course_code string, module_number string, number int, text string")
+    s = spark.createDataFrame([], "slide_id long, course_code string, module_number string, number int, visual_text array<string>")
+    for k in (1, 10):  # ten times the rows under other ids speak as one
+        more = p.crossJoin(spark.range(k).withColumnRenamed("id", "i")).select((F.col("page_id") * 100 + F.col("i")).alias("page_id"), "course_code", F.col("i").cast("string").alias("module_number"), "number", "text")
+        got = {(r.item_id // 100, r.line_no) for r in noisy_lines(page_lines(more), slide_lines(s)).where("noise = 'hyphen'").collect()}
+        assert got == {(2, 2), (4, 1)}
+    text = {r.item_id: r.text for r in repaired(page_lines(p), slide_lines(s)).collect()}
+    assert text[1] == "It was pre- and post-tested." and text[4] == "a zorblit mirror"
+
+
+def test_long_headers(spark):
+    long = "Notes on the Pump and all of its Parts " * 5
+    pages = [(k, "C", "1", k, f"{long}\nword number {k} of the text") for k in range(3)]
+    p = spark.createDataFrame(pages, "page_id long, course_code string, module_number string, number int, text string")
+    s = spark.createDataFrame([], "slide_id long, course_code string, module_number string, number int, visual_text array<string>")
+    assert {(r.item_id, r.line_no) for r in noisy_lines(page_lines(p), slide_lines(s)).where("noise = 'header'").collect()} == {(0, 1), (1, 1), (2, 1)}
