@@ -31,7 +31,9 @@ HYPHEN_MARKS = ("-", "\u00ad", "\u00ac", "\u2010", "\u2011")
 LEAST_SIGNS = 5
 #: A misread word is at most this share as frequent as its variant, which must occur so often.
 RARE_SHARE, LEAST_USES = 0.25, 4
-#: Misread words up to which their table goes to all executors; beyond it the join is shuffled.
+#: Letters of a word in which two changes may be put right.
+TWO_CHANGES = 6
+#: Words up to which a table of them goes to all executors; beyond it the join is shuffled.
 BROADCAST_WORDS = 200_000
 _ROMAN = r"(?:x{0,3}(?:ix|iv|v?i{1,3}|v)|x{1,3}|xl|l)"
 _LOOSE = r"[0-9olis|]+"
@@ -50,7 +52,7 @@ def _bare(x: Column) -> Column:
 
 def _lines(items: DataFrame) -> DataFrame:
     """One row a line, numbered from 1, with the line after it."""
-    e = items.select("item_table", "item_id", "lines", F.posexplode("lines").alias("at", "x"))
+    e = items.select("item_table", "item_id", "lines", F.posexplode_outer("lines").alias("at", "x"))
     return e.select("item_table", "item_id", (F.col("at") + 1).cast("bigint").alias("line_no"), _bare(F.col("x")).alias("line"), F.get("lines", F.col("at") + 1).alias("after"))
 
 
@@ -90,10 +92,12 @@ def edge_lines(items: DataFrame) -> DataFrame:
     place = lambda i: F.struct((F.get("full", i) + 1).cast("bigint").alias("line_no"), i.alias("from_top"), (F.size("full") - 1 - i).alias("from_end"), _bare(F.get("lines", F.get("full", i))).alias("line"))
     outer = F.filter(F.sequence(F.lit(0), F.size("full") - 1), lambda i: (i <= 1) | (i >= F.size("full") - 2))
     edge = base.where("size(full) > 0").select(*keys, "course_code", "module_number", "number", F.explode(F.transform(outer, place)).alias("e")).select(*keys, "course_code", "module_number", "number", "e.*")
-    edge = edge.withColumn("is_number", _is_number(F.col("line")))
-    skel = F.when(~F.col("is_number") & ~F.trim("line").rlike(r"[.!?;,。][\"”»')]?$") & ~F.lower(F.trim("line")).isin(*SENTINELS), _skeleton(F.col("line")))
-    signs = F.when(F.length(skel) >= LEAST_SIGNS, F.struct(F.xxhash64(skel), F.length(skel)))  # lines of any length meet on their hash
-    named = cut(edge.select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", "is_number", signs.alias("skel")).where("is_number OR skel IS NOT NULL"))
+    # of a line only its signs are needed, worked out once: nothing moves below the explode
+    headed = ~F.trim("line").rlike(r"[.!?;,。][\"”»')]?$") & ~F.lower(F.trim("line")).isin(*SENTINELS)
+    signs = F.when(_is_number(F.col("line")), "\n").when(headed, _skeleton(F.col("line")))
+    edge = edge.select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", F.explode(F.array(signs)).alias("signs")).where(f"signs = '\n' OR length(signs) >= {LEAST_SIGNS}")
+    # lines of any length meet on their hash
+    named = cut(edge.select(*keys, "course_code", "module_number", "number", "line_no", "from_top", "from_end", (F.col("signs") == "\n").alias("is_number"), F.when(F.col("signs") != "\n", F.struct(F.xxhash64("signs"), F.length("signs"))).alias("skel")))
     module = ["course_code", "module_number", "skel"]
     seen = named.where("skel IS NOT NULL").select(*module, "number").distinct().groupBy(*module).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     hit = named.where("skel IS NOT NULL").join(seen.select(*module), module, "left_semi").select(*keys, "line_no", "from_top", "from_end", F.lit("header").alias("noise"))
@@ -137,33 +141,44 @@ def _line_words(c: Column) -> Column:
     """The words of a line in lower case, but for one that is broken off by a hyphen at its end."""
     broken = F.right(F.rtrim(c), F.lit(1)).isin(*HYPHEN_MARKS)
     whole = F.when(broken, F.regexp_replace(c, rf"(?<!\p{{L}})\p{{L}}++[{HYPHENS}]\s*+$", "")).otherwise(c)
-    return F.filter(F.split(F.lower(whole), rf"[^\p{{L}}\p{{N}}|]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(whole), r"[^\p{L}\p{N}|]+"), lambda w: w != "")
+
+
+#: Stands between the two parts of a break, so that breaks count and meet as words do; no word holds a blank, and none a hyphen.
+_BREAK = " "
+
+
+def _break() -> Column:
+    """The parts of the word that is broken at the line's end, as an array of one or none."""
+    return F.when(_goes_on(), F.array(F.concat_ws(_BREAK, _first_part(), _rest_part()))).otherwise(F.array().cast("array<string>"))
 
 
 def _word_counts(lines: DataFrame) -> DataFrame:
-    """(word, n): the uses of each word of the lines."""
-    words = lines.select(F.explode(_line_words(F.col("line"))).alias("word"))
+    """(word, n): the uses of each word of the lines, of each compound with a hyphen inside a line and of each break between two."""
+    w = r"[\p{L}\p{N}]"
+    inside = F.regexp_extract_all(F.translate(F.lower("line"), "\u2010\u2011", "--"), F.lit(rf"(?<!{w})(?=({w}++-{w}++))"), 1)
+    compounds = F.when(F.col("line").rlike(rf"[-\u2010\u2011]{w}"), inside).otherwise(F.array().cast("array<string>"))
+    words = lines.select(F.explode(F.concat(_line_words(F.col("line")), compounds, _break())).alias("word"))
     return cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def broken_words(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """(first, rest, goes_on, hyphened): the distinct pairs of word parts that stand on both sides of a break, and what the other lines say of them.
+def broken_words(counts: DataFrame) -> DataFrame:
+    """(word, goes_on, hyphened): the distinct breaks (the word parts on both sides), and what the other lines say of them.
 
     ``hyphened``: inside lines the two are written with a hyphen more often than as one word, so the compound keeps it. ``goes_on`` is
     false where nothing speaks for a broken word: neither form is written anywhere, while the second part is a word of other lines
     by itself ("pre-" and "and").
     """
-    w = r"[\p{L}\p{N}]"
-    pairs = lines.where(_goes_on()).select(_first_part().alias("first"), _rest_part().alias("rest")).groupBy("first", "rest").agg(F.count(F.lit(1)).alias("breaks"))
-    inside = F.regexp_extract_all(F.translate(F.lower("line"), "\u2010\u2011", "--"), F.lit(rf"(?<!{w})(?=({w}++-{w}++))"), 1)
-    compounds = lines.where(F.col("line").rlike(rf"[-\u2010\u2011]{w}")).select(F.explode(inside).alias("compound")).groupBy("compound").agg(F.count(F.lit(1)).alias("with_hyphen"))
-    own = pairs.groupBy("rest").agg(F.sum("breaks").alias("as_rest")).join(counts.select(F.col("word").alias("rest"), F.col("n").alias("rest_uses")), "rest")
+    part = lambda k: F.split_part("word", F.lit(_BREAK), F.lit(k))
+    pairs = counts.where(F.contains("word", F.lit(_BREAK))).select("word", part(1).alias("first"), part(2).alias("rest"), F.col("n").alias("breaks"))
+    uses = lambda key, n: counts.select(F.col("word").alias(key), F.col("n").alias(n))
+    own = pairs.groupBy("rest").agg(F.sum("breaks").alias("as_rest")).join(uses("rest", "rest_uses"), "rest")
     known = (
-        pairs.withColumn("compound", F.concat_ws("-", "first", "rest")).join(compounds, "compound", "left")
-        .withColumn("word", F.concat("first", "rest")).join(counts, "word", "left").join(own, "rest", "left")
+        pairs.withColumn("compound", F.concat_ws("-", "first", "rest")).join(uses("compound", "with_hyphen"), "compound", "left")
+        .withColumn("whole", F.concat("first", "rest")).join(uses("whole", "as_one"), "whole", "left").join(own, "rest", "left")
     )
-    written = F.col("n").isNotNull() | F.col("with_hyphen").isNotNull()
-    return known.select("first", "rest", (written | ~F.coalesce(F.col("rest_uses") > F.col("as_rest"), F.lit(False))).alias("goes_on"), (F.coalesce("with_hyphen", F.lit(0)) > F.coalesce("n", F.lit(0))).alias("hyphened"))
+    written = F.col("as_one").isNotNull() | F.col("with_hyphen").isNotNull()
+    return known.select("word", (written | ~F.coalesce(F.col("rest_uses") > F.col("as_rest"), F.lit(False))).alias("goes_on"), (F.coalesce("with_hyphen", F.lit(0)) > F.coalesce("as_one", F.lit(0))).alias("hyphened"))
 
 
 def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -173,11 +188,16 @@ def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFram
     """
     counts = _word_counts(lines) if counts is None else counts
     frequent = counts.where((F.col("n") >= LEAST_USES) & F.col("word").rlike(r"^\p{L}{3,}$")).select(F.col("word").alias("variant"), F.col("n").alias("m"), _hash(F.col("word")).alias("h"))
+    if frequent.count() <= BROADCAST_WORDS:
+        frequent = F.broadcast(frequent)
     changes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(r).alias("r"), F.lit(_value(r) - _value(w)).cast("bigint").alias("d")) for w, r in CONFUSED])
-    rare = counts.where((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}")).select("word", "n", _hash(F.col("word")).alias("g"), F.filter(changes, lambda x: F.contains(F.col("word"), x["w"])).alias("c"))
+    plain = (F.length("word") >= 3) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(f"[-{_BREAK}]")
+    rare = counts.where(plain).select("word", "n", _hash(F.col("word")).alias("g"), F.filter(changes, lambda x: F.contains(F.col("word"), x["w"])).alias("c"))
     one = rare.select("word", "n", "g", F.explode("c").alias("a"), "c")
-    # one change, or two of them; the second may only follow in the list, or repeat
-    probes = one.select("word", "n", "a", F.explode(F.concat(F.array(F.lit(None).cast("struct<w:string,r:string,d:bigint>")), F.filter("c", lambda x: (x["w"] > F.col("a.w")) | ((x["w"] == F.col("a.w")) & (x["r"] >= F.col("a.r")))))).alias("b"), "g")
+    # one change, or, in longer words, two of them; the second may only follow in the list, or repeat
+    second = F.when(F.length("word") >= TWO_CHANGES, F.filter("c", lambda x: (x["w"] > F.col("a.w")) | ((x["w"] == F.col("a.w")) & (x["r"] >= F.col("a.r")))))
+    none = F.array(F.lit(None).cast("struct<w:string,r:string,d:bigint>"))
+    probes = one.select("word", "n", "a", F.explode(F.concat(none, F.coalesce(second, F.array().cast("array<struct<w:string,r:string,d:bigint>>")))).alias("b"), "g")
     probes = probes.select("word", "n", "a", "b", (F.col("g") + F.col("a.d") + F.coalesce("b.d", F.lit(0))).alias("h"))
     near = probes.join(frequent, "h").where(F.col("n") <= RARE_SHARE * F.col("m"))
 
@@ -191,27 +211,23 @@ def misread_words(lines: DataFrame, counts: DataFrame | None = None) -> DataFram
     second = F.flatten(F.transform(first, lambda t: F.when(F.contains(t, F.col("b.w")), put(t, F.col("b"))).otherwise(F.array().cast("array<string>"))))
     right = F.when(F.col("b").isNull(), F.array_contains(first, F.col("variant"))).otherwise(F.array_contains(second, F.col("variant")))
     changed = F.when(F.col("b").isNull(), 1).otherwise(2)
-    verified = near.where(right & ((changed == 1) | (F.length("word") >= 6)))
+    verified = near.where(right)
     best = F.max(F.struct("m", (-changed).alias("c"), "variant"))
     return verified.groupBy("word").agg(best.alias("x")).select("word", F.col("x.variant").alias("variant"))
 
 
-#: What stands for a line's break among its words, so that breaks and words leave the text in one pass; no word holds a blank.
-_BREAK = " "
-
-
 def noisy_places(lines: DataFrame, counts: DataFrame) -> DataFrame:
     """(item_table, item_id, line_no, word, variant, hyphened) of the misread words of each line and of its break, where word is null.
 
     One pass over the lines: their words, and a break as one more, meet the few words and breaks that are noise.
     """
     wrong = misread_words(lines, counts).select("word", "variant", F.lit(None).cast("boolean").alias("hyphened"))
-    breaks = broken_words(lines, counts).where("goes_on").select(F.concat_ws(_BREAK, "first", "rest").alias("word"), F.lit(None).cast("string").alias("variant"), "hyphened")
-    noise = cut(wrong.unionByName(breaks))
+    breaks = broken_words(counts).where("goes_on").select("word", F.lit(None).cast("string").alias("variant"), "hyphened")
+    # a word as an expression: what is known of these words (their letters and changes) is not to be tested again on every word of the lines
+    noise = cut(wrong.unionByName(breaks)).withColumn("word", F.concat_ws("", "word"))
     if noise.count() <= BROADCAST_WORDS:
         noise = F.broadcast(noise)
-    tokens = F.concat(_line_words(F.col("line")), F.when(_goes_on(), F.array(F.concat_ws(_BREAK, _first_part(), _rest_part()))).otherwise(F.array().cast("array<string>")))
-    spots = lines.select("item_table", "item_id", "line_no", F.explode(tokens).alias("word"))
+    spots = lines.select("item_table", "item_id", "line_no", F.explode(F.concat(_line_words(F.col("line")), _break())).alias("word"))
     return spots.join(noise, "word").withColumn("word", F.when(F.col("hyphened").isNull(), F.col("word")))
 
 
