@@ -75,3 +75,27 @@ def test_plans_do_not_depend_on_the_batch():
     parts = [near.key_rows(np.arange(a, b), np.zeros(b - a, np.int64), offsets[a : b + 1] - offsets[a], h[offsets[a] : offsets[b]], shares) for a, b in ((0, 1), (1, 33), (33, 80))]
     rows = lambda d: sorted(zip(*(x.tolist() for x in d.values())))
     assert rows(whole) == sorted(x for p in parts for x in rows(p))
+
+
+def test_two_large_near_classes(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 100)
+    text, n = "one two three four five six seven eight", 1500
+    df = spark.range(2 * n).selectExpr("id AS key", f"IF(id < {n}, '{text}', '{text} nine') AS body")
+    pairs = near.near_pairs(near.records(df, "x", "key", "body"), ["x"])
+    assert pairs.count() == pairs.distinct().count() == n * (2 * n - 1)
+
+
+def test_frequent_keys_are_avoided_and_met_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near, "HEAVY_SHARE", 0.02)
+    monkeypatch.setattr(near, "KEY_BLOCK", 7)
+    monkeypatch.setattr(near, "HELD_KEYS", 500)  # counts are compacted many times
+    r = random.Random(5)
+    frame = "the pump of the unit carries code and holds valve number near pipe".split()
+    rows = [("x", k, " ".join(frame + [f"a{r.randrange(12)}", f"b{r.randrange(12)}", f"c{r.randrange(40)}"])) for k in range(300)]
+    rows += [("y", k, " ".join(frame[: r.randint(6, 11)])) for k in range(60)]
+    recs, got = run(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    reps = near.stored(near.classes(recs))
+    shares = near.learn(reps)
+    heavy = near.heavy_keys(reps, ["x", "y"], shares)
+    assert heavy and min(heavy.values()) >= 2
