@@ -4,8 +4,12 @@ Applying merge rules in order to a text w and to w + v, let B be the right-most
 moves left by the length of x only when a rule (x, y) merges across it in one of the two, and the next such rule must come later
 in the list and have a right side that begins with x (x lies on the left spine of its y). The longest chain of such rules, by
 the bytes of their left sides, is therefore a *sufficient lookahead*: a token that ends that many bytes before the end of what
-has been read is final, whatever follows. A long word is read block by block, tokens are given out once they are stable, and
-only the unstable end is held. Tokenising again from a token's end gives the rest of the same tokens, as no merge crossed it.
+has been read is final, whatever follows. Tokenising again from a token's end gives the rest of the same tokens, as no merge
+crossed it.
+
+Every text is read block by block. A splitter gives out words, or the part of a long word that has come in, once nothing that
+follows can change them, and holds the rest; the words run through the merges, where tokens are given out once they are stable.
+So beside its ids a text of any length takes a block and a lookahead of memory.
 """
 
 from __future__ import annotations
@@ -25,7 +29,50 @@ from pyspark.sql import DataFrame
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Words up to so many bytes are kept with their ids, and so many of them at most.
 MEMO_BYTES, MEMO_WORDS = 48, 1 << 17
-BLOCK = 2048
+#: Characters of a text that are read at once.
+BLOCK = 4096
+#: Characters at the end of what has been read that may still change the words before them (a contraction has three).
+OPEN = 3
+#: How a word goes on that began in an earlier block, by its last character.
+_GOES_ON = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"\p{White_Space}*", r"[^\p{White_Space}\p{L}\p{N}]*")]
+
+
+def split_words(blocks: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """(part, ends) of the words of a text that comes in blocks; a word that fits into a block comes in one part."""
+    held, on = "", None  # on: the pattern of a word of which parts have been given out
+    for block in blocks:
+        held += block
+        if on is not None:
+            run = len(on.match(held)[0])
+            if run > len(held) - OPEN:
+                if run > OPEN:
+                    yield held[: run - OPEN], False
+                    held = held[run - OPEN :]
+                continue
+            # the last of white space goes with what follows
+            run -= on is _GOES_ON[2]
+            yield held[:run], True
+            held, on = held[run:], None
+        found, at = SPLIT.findall(held), len(held)
+        while found and at > len(held) - OPEN:
+            at -= len(found.pop())
+        for word in found:
+            yield word, True
+        held = held[at:]
+        if len(held) >= BLOCK:
+            first = len(SPLIT.match(held)[0])
+            if first >= max(len(held) - OPEN, OPEN + 2):  # more than a blank before a word
+                yield held[: first - OPEN], False
+                last = held[first - OPEN - 1]
+                held = held[first - OPEN :]
+                on = next(p for p in _GOES_ON if p.match(last)[0])
+    if on is not None:
+        run = len(on.match(held)[0])
+        run -= on is _GOES_ON[2] and run < len(held)
+        yield held[:run], True
+        held = held[run:]
+    for word in SPLIT.findall(held):
+        yield word, True
 
 
 def default_vocabulary() -> str:
@@ -116,27 +163,35 @@ class Transducer:
             held = held[done:]
         yield from self._merged(held)
 
-    def word(self, word: str) -> tuple[int, ...]:
-        data = word.encode()
-        step = max(BLOCK, 2 * self.lookahead)
-        if len(data) > 2 * step:
-            return tuple(self.stream(data[k : k + step] for k in range(0, len(data), step)))
-        return tuple(self._merged(data))
+    def words(self, parts: Iterator[tuple[str, bool]]) -> Iterator[tuple[int, ...]]:
+        """The ids of each word, or of what is stable of it so far. Words in one part are remembered."""
+        memo = self.memo
+        for part, ends in parts:
+            if ends:
+                ids = memo.get(part)
+                if ids is None:
+                    ids = tuple(self.stream((part.encode(),)))
+                    if len(part) <= MEMO_BYTES:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
+                        memo[part] = ids
+                yield ids
+                continue
+
+            def rest(first: str = part) -> Iterator[bytes]:
+                yield first.encode()
+                for more, last in parts:
+                    yield more.encode()
+                    if last:
+                        return
+
+            yield from ((t,) for t in self.stream(rest()))
 
     def encode(self, text: str | None) -> array:
         out = array("i")
-        if not text:
-            return out
-        memo = self.memo
-        for m in SPLIT.findall(text):
-            ids = memo.get(m)
-            if ids is None:
-                ids = self.word(m)
-                if len(m) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[m] = ids
-            out.extend(ids)
+        if text:
+            for ids in self.words(split_words(text[k : k + BLOCK] for k in range(0, len(text), BLOCK))):
+                out.extend(ids)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
