@@ -4,22 +4,25 @@ A shard holds the runs of words that could hold a passage: maximal runs of words
 ``LEAST`` words; a passage can lie nowhere else, so nothing is lost. Its suffixes are sorted by prefix doubling, the
 Burrows-Wheeler transform goes into a wavelet matrix, and all distinct item phrases of ``LEAST`` words are searched backward at
 once, as arrays. Occurrences are located by walking to sampled suffix positions, and windows that touch are merged into spans.
-Shards never meet: there is no shuffle, and a document's rows come from one shard.
+Shards never meet; only found spans are shuffled, to merge those of one passage that a long document has in two shards.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEAST = 13
-#: Words of a shard, words of items that go to the executors at once, and the distance of sampled positions.
-SHARD_WORDS, ITEM_WORDS, SAMPLE = 1 << 18, 1 << 21, 16
+#: Words of a shard, words of a block of items (its phrases take LEAST * 4 bytes a word), blocks that one scan of the documents looks
+#: for, and the distance of sampled positions.
+SHARD_WORDS, ITEM_WORDS, BLOCKS_A_SCAN, SAMPLE = 1 << 18, 1 << 18, 4, 16
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -127,7 +130,7 @@ class Phrases:
             nums = [self.number.setdefault(w, len(self.number) + 1) for w in words]
             for k in range(len(nums) - LEAST + 1):
                 of.setdefault(tuple(nums[k : k + LEAST]), set()).add(item)
-        self.table = np.array(list(of) or np.zeros((0, LEAST)), np.int64).reshape(-1, LEAST)
+        self.table = np.array(list(of) or np.zeros((0, LEAST)), np.int32).reshape(-1, LEAST)
         self.items = [sorted(x) for x in of.values()]
         self.size = len(self.number) + 1
 
@@ -174,28 +177,48 @@ def _spans(places: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _search(phrases: Phrases):
+class _Shard:
+    """The runs of some documents that one block of items may occur in, up to SHARD_WORDS of them."""
+
+    def __init__(self, phrases: Phrases):
+        self.phrases, self.runs, self.keys, self.total = phrases, [], [], 0
+
+    def add(self, key: int, words: list[str]) -> Iterator[list[tuple[int, int, int, int]]]:
+        for k, (place, run) in enumerate(self.phrases.runs(words)):
+            if not k or not self.keys:
+                self.keys.append(key)
+            self.runs.append((len(self.keys) - 1, place, run))
+            self.total += len(run) + 1
+            if self.total >= SHARD_WORDS:
+                yield self.flush()
+
+    def flush(self) -> list[tuple[int, int, int, int]]:
+        """(document, item, start, end) of the spans of the shard, which is then empty."""
+        at: dict[tuple[int, int], list[int]] = {}
+        for d, item, place in self.phrases.hits(self.runs):
+            at.setdefault((d, item), []).append(place)
+        found = [(self.keys[d], item, a, b) for (d, item), places in at.items() for a, b in _spans(places)]
+        self.runs, self.keys, self.total = [], [], 0
+        return found
+
+
+def _search(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(shard, keys):
-            at: dict[tuple[int, int], list[int]] = {}
-            for doc, item, place in phrases.hits(shard):
-                at.setdefault((doc, item), []).append(place)
-            rows = [(keys[d], i, a, b) for (d, i), ps in at.items() for a, b in _spans(ps)]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "start_word", "end_word"])
-
-        shard, keys, total = [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys.append(key)
-                for place, run in phrases.runs(text_words(text.as_py())):
-                    shard.append((len(keys) - 1, place, run))
-                    total += len(run) + 1
-                if total >= SHARD_WORDS:
-                    yield flush(shard, keys)
-                    shard, keys, total = [], [], 0
-        if shard:
-            yield flush(shard, keys)
+        shards = [_Shard(b.value) for b in blocks]
+
+        def spans() -> Iterator[list[tuple[int, int, int, int]]]:
+            for batch in batches:
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    words = text_words(text.as_py())
+                    for shard in shards:
+                        yield from shard.add(key, words)
+            for shard in shards:
+                yield shard.flush()
+
+        for found in spans():
+            if found:
+                cols = list(zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "start_word", "end_word"])
 
     return run
 
@@ -220,18 +243,28 @@ def leaked_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", tex
     """(doc_id, item_id, start_word, end_word): the merged spans of each document that repeat LEAST or more consecutive words of an item.
 
     Words are maximal runs of letters and digits, lower-cased; places count words from 0. Null, empty and short texts give no row,
-    neither do null keys of items; repeated document rows give their spans each time. The items reach the executors in blocks of
-    a fixed size, each of which is searched in all documents.
+    neither do null keys of items; repeated document rows give their spans once. The items reach the executors in blocks of
+    a fixed size; BLOCKS_A_SCAN of them are searched in one scan of all documents.
     """
+    found = _found_spans(docs, items, doc_key, text, item_key, item_text)
+    # spans of one passage may come from two shards; a document has few spans of an item, so these groups are small
+    order = W.partitionBy("doc_id", "item_id").orderBy("start_word", "end_word")
+    before = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = found.withColumn("fresh", (F.col("start_word") > F.coalesce(before, F.lit(-1))).cast("int"))
+    merged = marked.withColumn("span", F.sum("fresh").over(order)).groupBy("doc_id", "item_id", "span").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    return merged.select("doc_id", "item_id", "start_word", "end_word")
+
+
+def _found_spans(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     spark: SparkSession = docs.sparkSession
+    kind = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint"
     read = docs.select(F.col(doc_key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for block in item_blocks(items, item_key, item_text):
-        part = read.mapInArrow(_search(Phrases(block)), "doc_id bigint, item_id bigint, start_word bigint, end_word bigint")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, start_word bigint, end_word bigint")
+    out, blocks = spark.createDataFrame([], kind), item_blocks(items, item_key, item_text)
+    while some := [spark.sparkContext.broadcast(Phrases(b)) for b in islice(blocks, BLOCKS_A_SCAN)]:  # of ITEM_WORDS words each
+        out = out.unionByName(read.mapInArrow(_search(some), kind))
+    return out
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame, **names: str) -> DataFrame:
     """(doc_id, item_id), once each, for the items that a document leaks."""
-    return leaked_spans(docs, items, **names).select("doc_id", "item_id").distinct()
+    return _found_spans(docs, items, **names).select("doc_id", "item_id").distinct()
