@@ -54,3 +54,27 @@ def test_precedence_never_has_a_cycle():
     before, level = precedence([(0, 1, 9), (1, 2, 8), (2, 0, 3), (0, 2, 1), (3, 4, 2), (4, 3, 2)])
     assert before[2] == {0, 1} and level == {0: 0, 1: 1, 2: 2, 3: 0, 4: 0}
     assert precedence([]) == ({}, {})
+
+
+def test_kind_and_topic_of_rows_without_time(spark, monkeypatch):
+    from coursegrain.llm import survivor
+
+    # drafts become content everywhere; capitals are written before small letters
+    rows = []
+    for k in range(4):
+        rows += [row(10 * k, "ALL THE LETTERS ARE LARGE.", fact_id=f"g{k}", day=3, kind="draft", topic="old"), row(10 * k + 1, "all the letters are small.", fact_id=f"g{k}", day=5, kind="content", topic="new")]
+    rows += [row(100, "ALL THE LETTERS ARE LARGE.", fact_id="x", day=20, kind="draft", topic="old"), row(101, "all the letters are small.", fact_id="x", day=None, kind=" Content ", topic="new")]
+    rows += [row(110, "all the letters are small.", fact_id="y", day=20, kind="content", topic="new"), row(111, "ALL THE LETTERS ARE LARGE.", fact_id="y", day=None, kind="draft", topic="old")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.fact_key: (r.kind, r.topic) for r in merged_records(df).collect()}
+    assert got["x"] == ("Content", "new") and got["y"] == ("content", "new")
+    ten = df.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).selectExpr("concat(course_code, copy) AS course_code", "module_number", "fact_id", "fact_row * 10 + copy AS fact_row", "statement", "slides", "kind", "topic", "method", "extracted_at", "text", "cls")
+    assert {(r.fact_key, r.kind, r.topic) for r in merged_records(ten).where("fact_key = 'x'").collect()} == {("x", "Content", "new")}
+    monkeypatch.setattr(survivor, "precedence", lambda counted: ({}, {}))  # nothing learned: the row without a time says nothing about it
+    got = {r.fact_key: (r.kind, r.topic, r.fact_row) for r in merged_records(df).collect()}
+    assert got["x"] == ("draft", "old", 100)
+
+
+def test_repeated_rows_make_one_record(spark):
+    df = spark.createDataFrame([row(13, "same thing twice"), row(13, "same thing twice")], SCHEMA)
+    assert merged_records(df).count() == 1
