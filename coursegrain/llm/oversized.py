@@ -65,11 +65,11 @@ def bisect_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
 PIECES = "item_table string, item_id bigint, item_pos bigint, piece_no int, core_start int, start int, end int, text string"
 
 
-def _pieces_of(limit: int, overlap: int, with_text: bool):
+def _pieces_of(limit: int, overlap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (t, i, p, k, c, a, b, text[a:b] if with_text else None)
+                (t, i, p, k, c, a, b, text[a:b])
                 for t, i, p, text in zip(batch["item_table"], batch["item_id"], batch["item_pos"], batch["text"])
                 for k, (a, c, b) in enumerate(bisect_text(text, limit, overlap), 1)
             ]
@@ -78,11 +78,26 @@ def _pieces_of(limit: int, overlap: int, with_text: bool):
     return run
 
 
-def oversized_pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
+def oversized_pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The pieces of each text of more than ``limit`` characters (code points).
 
     ``items`` has item_table, item_id, item_pos and text; other columns are not read. Null, empty and small texts give no row;
     a repeated row gives its pieces each time. Only texts over the limit leave the JVM, and nothing is shuffled.
     """
     over = items.select("item_table", F.col("item_id").cast("bigint").alias("item_id"), F.col("item_pos").cast("bigint").alias("item_pos"), "text").where(F.length("text") > limit)
-    return over.mapInPandas(_pieces_of(limit, overlap, with_text), PIECES)
+    return over.mapInPandas(_pieces_of(limit, overlap), PIECES)
+
+
+def rejoined(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(item_table, item_id, item_pos, n_chars, digest, kept): each text from its pieces without their overlaps, by its MD5.
+
+    ``kept``: no piece is longer than the limit, each holds what its places say, and each but the first begins ``overlap`` characters
+    before the end of the one before it (with less only where that one begins the text). A repeated item counts once.
+    """
+    order = F.array_sort(F.collect_set(F.struct("piece_no", "start", "core_start", "end", "text")))
+    one = pieces.groupBy("item_table", "item_id", "item_pos").agg(order.alias("p"))
+    core = F.array_join(F.transform("p", lambda x: F.substring(x["text"], x["core_start"] - x["start"] + 1, x["end"] - x["core_start"])), "")
+    sound = F.forall("p", lambda x: (F.length(x["text"]) == x["end"] - x["start"]) & (F.length(x["text"]) <= limit))
+    # the pieces are numbered from 1, so the one before piece k stands at place k - 2 of the array
+    follows = F.forall(F.filter("p", lambda x: x["piece_no"] > 1), lambda x: (F.get("p", x["piece_no"] - 2)["end"] == x["core_start"]) & (x["start"] == F.greatest(x["core_start"] - overlap, F.lit(0))))
+    return one.select("item_table", "item_id", "item_pos", F.length(core).cast("bigint").alias("n_chars"), F.md5(core).alias("digest"), (sound & follows).alias("kept"))

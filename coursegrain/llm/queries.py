@@ -26,14 +26,18 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = oversized.oversized_pieces(_items(spark, d), with_text=False)
-    return pieces.where("piece_no = 1").select("item_table", "item_id", "item_pos")
+    return oversized.oversized_pieces(_items(spark, d)).where("piece_no = 1").select("item_table", "item_id", "item_pos")
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return oversized.oversized_pieces(_items(spark, d))
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, and whether all of them keep the limit and the overlap."""
+    return oversized.rejoined(oversized.oversized_pieces(_items(spark, d)))
+
+
 NEAR_TABLES = ["facts", "cards"]
 
 
@@ -133,6 +137,11 @@ SELECT 'extracted_pages' AS item_table, page_id AS item_id, CAST(0 AS BIGINT) AS
 UNION ALL
 SELECT 'slides', slide_id, CAST(p AS BIGINT) FROM (SELECT slide_id, unnest(content) AS t, unnest(generate_series(1, len(content))) AS p FROM slides) WHERE length(t) > 1200
 """
+P2_REJOINED_SQL = """
+SELECT 'extracted_pages' AS item_table, page_id AS item_id, CAST(0 AS BIGINT) AS item_pos, length(text) AS n_chars, md5(text) AS digest, true AS kept FROM extracted_pages WHERE length(text) > 1200
+UNION ALL
+SELECT 'slides', slide_id, CAST(p AS BIGINT), length(t), md5(t), true FROM (SELECT slide_id, unnest(content) AS t, unnest(generate_series(1, len(content))) AS p FROM slides) WHERE length(t) > 1200
+"""
 _P5_NEAR = r"""
 forms AS (
   SELECT form, min(relation_code) AS code FROM (
@@ -195,8 +204,8 @@ numbered AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, item_i
 SELECT doc_id, item_id, min(p) - 1 AS start_word, max(p) + 12 AS end_word FROM numbered GROUP BY doc_id, item_id, g"""
 
 QUERIES = {
-    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rejoined": p2_rejoined, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
     "p6_found": p6_found, "p7_found": p7_found, "p7_repaired": p7_repaired, "p10_found": p10_found, "p10_residue": p10_residue,
     "p3_found": p3_found, "p3_groups": p3_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_spans": p9_spans,
 }
-SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL}
+SQL = {"p1_found": P1_SQL, "p1_records": P1_RECORDS_SQL, "p2_found": P2_SQL, "p2_rejoined": P2_REJOINED_SQL, "p3_found": P3_SQL, "p3_groups": P3_GROUPS_SQL, "p5_found": P5_SQL, "p5_unmatched": P5_UNMATCHED_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_spans": P9_SPANS_SQL}
