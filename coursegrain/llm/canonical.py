@@ -13,15 +13,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Most edits, and the length up to which a reference form allows only one.
 EDITS, SHORT = 2, 4
 #: Words that may stand before or after a form without changing what it means.
 LEADING, TRAILING = ("is", "are", "was", "were", "be", "been"), ("the", "a", "an")
-#: A spelling two edits away that is as common as this share of the form itself is a word of its own, not a slip; a swap of two
-#: neighbours is one edit here, though levenshtein counts two.
-OWN_WORD_SHARE, OWN_WORD_ROWS = 0.12, 5
 UNMATCHED = "unmatched"
 
 
@@ -35,10 +31,15 @@ def _edits(length: Column) -> Column:
     return F.when(length <= SHORT, 1).otherwise(EDITS)
 
 
-def _swapped(v: Column, form: Column) -> Column:
-    """Whether two neighbouring characters of the one stand the other way round in the other."""
-    turned = lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.lit(1)), F.substring(v, i, F.lit(1)), F.substring(v, i + 2, F.length(v)))
-    return (F.length(v) == F.length(form)) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(v) - 1, F.lit(1))), lambda i: turned(i) == form)
+def _other_word(v: Column, form: Column) -> Column:
+    """Whether both edits of ``v`` took the form's beginning: its rest is whole, but nothing is left of its first two letters.
+
+    Slips keep some of a word's beginning; where all of it is something else ("sings about" for "brings about"), another word was meant.
+    """
+    size = F.length(v) - F.length(form) + 2
+    head = F.substring(v, F.lit(1), F.greatest(size, F.lit(0)))
+    lost = F.length(F.array_join(F.array_intersect(F.split(head, ""), F.split(F.substring(form, 1, 2), "")), "")) == 0
+    return size.between(0, 2) & F.endswith(v, F.substring(form, F.lit(3), F.length(form))) & lost
 
 
 def reference_forms(reference: DataFrame, code: str, forms: list[Column]) -> DataFrame:
@@ -62,8 +63,8 @@ def _variants(plain: Column) -> Column:
 
 def matched_spellings(values: DataFrame, column: str, forms: DataFrame) -> DataFrame:
     """(plain, code, distance): the entry meant by each distinct spelling that means one."""
-    counted = values.where(F.col(column).isNotNull()).select(_plain(F.col(column)).alias("plain")).groupBy("plain").agg(F.count(F.lit(1)).alias("n"))
-    read = counted.select("plain", "n", F.explode(_variants(F.col("plain"))).alias("x")).select("plain", "n", F.col("x.v").alias("v"), F.col("x.cost").alias("cost")).where("v <> ''")
+    entered = values.where(F.col(column).isNotNull()).select(_plain(F.col(column)).alias("plain")).distinct()
+    read = entered.select("plain", F.explode(_variants(F.col("plain"))).alias("x")).select("plain", F.col("x.v").alias("v"), F.col("x.cost").alias("cost")).where("v <> ''")
 
     size = F.length("form")
     parts = _edits(size) + 1
@@ -86,22 +87,19 @@ def matched_spellings(values: DataFrame, column: str, forms: DataFrame) -> DataF
         ),
     )))))
     probes = (
-        read.select("plain", "n", "v", "cost", F.explode(spots).alias("p"))
+        read.select("plain", "v", "cost", F.explode(spots).alias("p"))
         .where("p.at >= 1 AND p.size >= 1 AND p.at + p.size - 1 <= length(v)")
-        .select("plain", "n", "v", "cost", "p.j", "p.len", F.expr("substring(v, p.at, p.size)").alias("s"))
+        .select("plain", "v", "cost", "p.j", "p.len", F.expr("substring(v, p.at, p.size)").alias("s"))
         .distinct()
     )
     near = (
         probes.join(segments, ["len", "j", "s"])
-        .select("plain", "n", "v", "cost", "code", "form")
+        .select("plain", "v", "cost", "code", "form")
         .distinct()
         .withColumn("distance", F.levenshtein("v", "form"))
         .where(F.col("distance") <= _edits(F.length("form")))
     )
-    # how often the form itself is written, among all rows, and whether the spelling is a word of its own
-    exact = counted.select(F.replace("plain", F.lit(" "), F.lit("")).alias("form"), F.col("n").alias("m")).groupBy("form").agg(F.sum("m").alias("m"))
-    two = (F.col("distance") >= 2) & ~_swapped(F.col("v"), F.col("form"))
-    judged = near.join(exact, "form", "left").where(~(two & (F.col("n") >= OWN_WORD_ROWS) & (F.col("n") >= OWN_WORD_SHARE * F.coalesce("m", F.lit(0)))))
+    judged = near.where(~((F.col("distance") >= 2) & _other_word(F.col("v"), F.col("form"))))
     best = F.min(F.struct((F.col("distance") + F.col("cost")).alias("total"), "distance", (-F.length("form")).alias("size"), "code"))  # at most a few candidates a spelling
     return judged.groupBy("plain").agg(best.alias("b")).select("plain", F.col("b.code").alias("code"), F.col("b.distance").alias("distance"))
 

@@ -149,20 +149,18 @@ forms AS (
   WHERE form <> '' GROUP BY form
 ), vals AS (
   SELECT triple_id, trim(regexp_replace(lower(regexp_replace(relation, '(\p{Ll})(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain FROM triples WHERE regexp_matches(relation, '[^\s\x{00a0}]')
-), counted AS (SELECT plain, count(*) AS n, replace(plain, ' ', '') AS flat FROM vals GROUP BY plain),
-exact AS (SELECT flat AS form, sum(n) AS m FROM counted GROUP BY flat),
+), counted AS (SELECT DISTINCT plain, replace(plain, ' ', '') AS flat FROM vals),
 variants AS (
-  SELECT plain, n, flat AS v, 0 AS cost FROM counted
-  UNION SELECT plain, n, flat[1:CAST(length(flat) / 2 AS INT)], 1 FROM counted WHERE length(flat) % 2 = 0 AND flat[1:CAST(length(flat) / 2 AS INT)] = flat[CAST(length(flat) / 2 AS INT) + 1:]
-  UNION SELECT plain, n, replace(regexp_replace(plain, '^(is|are|was|were|be|been) ', ''), ' ', ''), 1 FROM counted
-  UNION SELECT plain, n, replace(regexp_replace(plain, ' (the|a|an)$', ''), ' ', ''), 1 FROM counted
-  UNION SELECT plain, n, replace(regexp_replace(regexp_replace(plain, '^(is|are|was|were|be|been) ', ''), ' (the|a|an)$', ''), ' ', ''), 2 FROM counted
+  SELECT plain, flat AS v, 0 AS cost FROM counted
+  UNION SELECT plain, flat[1:CAST(length(flat) / 2 AS INT)], 1 FROM counted WHERE length(flat) % 2 = 0 AND flat[1:CAST(length(flat) / 2 AS INT)] = flat[CAST(length(flat) / 2 AS INT) + 1:]
+  UNION SELECT plain, replace(regexp_replace(plain, '^(is|are|was|were|be|been) ', ''), ' ', ''), 1 FROM counted
+  UNION SELECT plain, replace(regexp_replace(plain, ' (the|a|an)$', ''), ' ', ''), 1 FROM counted
+  UNION SELECT plain, replace(regexp_replace(regexp_replace(plain, '^(is|are|was|were|be|been) ', ''), ' (the|a|an)$', ''), ' ', ''), 2 FROM counted
 ), near AS (
-  SELECT plain, n, cost, code, f.form, levenshtein(v, f.form) AS distance, coalesce(m, 0) AS m
+  SELECT plain, v, cost, code, f.form, levenshtein(v, f.form) AS distance, length(v) - length(f.form) + 2 AS head
   FROM variants JOIN forms f ON v <> '' AND abs(length(v) - length(f.form)) <= 2 AND levenshtein(v, f.form) <= CASE WHEN length(f.form) <= 4 THEN 1 ELSE 2 END
-  LEFT JOIN exact e ON e.form = f.form
 ), known AS (
-  SELECT plain, code FROM near WHERE NOT (distance >= 2 AND n >= 5 AND n >= 0.12 * m)
+  SELECT plain, code FROM near WHERE NOT (distance >= 2 AND head BETWEEN 0 AND 2 AND ends_with(v, form[3:]) AND translate(v[1:head], form[1:2], '') = v[1:head])
   QUALIFY row_number() OVER (PARTITION BY plain ORDER BY distance + cost, distance, length(form) DESC, code) = 1
 )
 """
