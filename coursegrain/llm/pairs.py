@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coursegrain.sources.tables import cut
+
 #: Said instead of an answer, whole and lower-cased.
 NOTHING = frozenset("n/a|na|n.a.|null|none|nil|nan|tbd|todo|not specified|unspecified|unknown|undefined|[unreadable text]|unreadable text|no answer|(no answer)|not available|not applicable|no data|empty|blank|(blank)|(none)|(empty)".split("|"))
 #: Beginnings of sentences that decline, as lower-cased words; "*" stands for up to three words.
@@ -49,8 +51,8 @@ _CUT = re.compile(r"(?:\.\.+|…|\[\s*(?:\.\.\.|…)\s*\]|[,:;(\[{/&\-–—=+])
 _OPEN = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」"}
 #: Share of an answer that a copy must cover, share of the question that it must repeat in one go, words a repeated stretch must have.
 COVERED, REPEATED, STRETCH = 0.8, 0.6, 3
-#: A word ends an answer when it does so in this share of its uses, if it is used so often at all.
-END_SHARE, END_USES = 0.02, 30
+#: A word that makes up this share of all words within texts, and of whose uses less than this share end one, ends no answer.
+COMMON_SHARE, END_SHARE = 1e-3, 0.02
 #: A word is a cut one when more than this share of its uses breaks off an answer.
 CUT_SHARE = 0.5
 
@@ -230,8 +232,10 @@ def defects(cards: DataFrame) -> DataFrame:
     judged = rows.mapInArrow(_judge, "card_id bigint, defect string")
     field = lambda c, option: F.struct(_open_word(c, option).alias("word"), F.lit(option).alias("option"))
     open_end = rows.select("card_id", F.explode(F.array(field("correct_option", True), field("expalanation", False))).alias("f")).where("f.word IS NOT NULL").select("card_id", "f.option", "f.word")
-    cut = open_end.join(_word_uses(cards), "word").where(
+    uses = cut(_word_uses(cards))
+    total = uses.agg(F.sum("inner")).first()[0] or 0
+    broken = open_end.join(uses, "word").where(
         (F.col("open") > CUT_SHARE * (F.col("open") + F.col("inner") + F.col("ends") + F.col("whole")))
-        | ((F.col("inner") >= END_USES) & (F.col("ends") + F.when(F.col("option"), F.col("whole")).otherwise(0) < END_SHARE * F.col("inner")))
+        | ((F.col("inner") >= COMMON_SHARE * total) & (F.col("ends") + F.when(F.col("option"), F.col("whole")).otherwise(0) < END_SHARE * F.col("inner")))
     )
-    return judged.unionByName(cut.select("card_id", F.lit("truncated").alias("defect"))).distinct()
+    return judged.unionByName(broken.select("card_id", F.lit("truncated").alias("defect"))).distinct()

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from coursegrain.llm.pairs import SuffixAutomaton, copies, defects, other_language, plainly_broken, refuses, says_nothing
 
@@ -60,3 +61,18 @@ def test_cut_words_do_not_vouch_for_each_other(spark):
         df = spark.createDataFrame([(r[0] + 1000 * k, *r[1:]) for k in range(times) for r in rows], cols)
         assert {r.card_id % 1000 for r in defects(df).collect()} == {*range(12), *range(40, 45)}
         assert defects(df).count() == 17 * times
+
+
+def test_answers_do_not_depend_on_the_number_of_rows(spark):
+    rows = [(k, "identification", f"What does part {k} of the pump hold in the tank?", "", None, None, None, f"Part {k} holds the water of the tank.", "Think of the tank.") for k in range(8)]
+    rows += [
+        (20, "multiple-choice", "What moves the pump?", "the shaft that turns the wheel of the resev", "the belt", "the wheel", "the tank", "The shaft turns the wheel.", None),
+        (21, "multiple-choice", "What moves the tank?", "a shaft that belongs to the", "the belt", "the wheel", "the tank", "The shaft turns the wheel.", None),
+    ]
+    schema = "card_id long, card_type string, question string, correct_option string, wrong_option_1 string, wrong_option_2 string, wrong_option_3 string, expalanation string, hint string"
+    df = spark.createDataFrame(rows, schema)
+    seen = []
+    for times in (1, 3, 40):
+        many = df.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).withColumn("card_id", F.col("card_id") * 100 + F.col("copy")).drop("copy")
+        seen.append({(r.card_id // 100, r.defect) for r in defects(many).where("defect = 'truncated'").collect()})
+    assert seen[0] == seen[1] == seen[2] == {(20, "truncated"), (21, "truncated")}
