@@ -1,15 +1,19 @@
 """Template residue, filler, error notices and scripts-required notices in texts, by character n-gram models.
 
-Four models (placeholders, filler, error notices, scripts notices) are fitted on the examples below and one model of natural prose
-on texts that explain such things and on a bounded sample of the corpus, from which passages that the residue models prefer are
-taken out before a second fit. A text is scored character by character with the log-likelihood ratio of each residue model to
-natural prose; windows of WINDOW characters whose ratio reaches THRESHOLD mark residue, and a text is excluded when marked
-windows cover COVER characters or more. All texts are scored in full and nothing is shuffled.
+Four models (placeholders, filler, error notices, scripts notices) are fitted on examples that rules below put together, one model of
+natural prose on the n-gram counts of all documents and on texts that explain such things. A text is scored character by character
+with the log-likelihood ratio of each residue model to natural prose; windows of WINDOW characters whose ratio reaches THRESHOLD mark
+residue, and a text is excluded when marked windows cover COVER characters or more. All texts are counted and scored in full, many
+at once.
+
+Residue is part of the corpus that natural prose is counted on. So that it does not pass for prose there, n-grams are smoothed by a share
+of the corpus (RARE): what is no more common than residue may be predicts nothing, at any size of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,288 +22,288 @@ from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3, 4, 5)
 WEIGHTS = (0.02, 0.06, 0.14, 0.28, 0.5)
-BITS, FLOOR = 17, 1e-5
-#: Documents of the corpus that the model of natural prose is fitted on, at most, each in full.
-SAMPLE_DOCS = 3000
-WINDOW, THRESHOLD, COVER = 28, 5.0, 8
-#: Times that the natural examples count beside the sample, and the nats a character by which a line of the sample must be better
-#: explained by a model fitted on the sample than by any residue model, to be taken for natural at first.
-REPEAT, FIRST_GAP = 40, 0.3
+BITS, FLOOR = 18, 1e-5
+#: Share of all characters by which the counts of natural prose are smoothed, the uses that it stands for at least (a few uses are no
+#: evidence of prose in a small corpus either), and how many times that each natural example counts.
+RARE, FEW, EXAMPLE = 7e-5, 20, 6
+WINDOW, THRESHOLD, COVER = 28, 6.0, 8
+#: Characters that are scored at once (a longer text alone).
+TOGETHER = 1 << 18
 
-_NAMES = "instructor name|student name|course code|module title|due date|topic|concept name|definition|learning outcome|reference link|slide number|office hours|unit|term|chapter|date|email|author|title|company name|first name|lecture topic|week number|room".split("|")
-_MARKS = "{{%s}}|{{ %s }}|{%s}|${%s}|<%%= %s %%>|<%s goes here>|<<%s>>|<<%s>>|[INSERT %s HERE]|[insert %s here]|[Your %s]|[%s to be filled in]|[TBD: %s]|(enter %s)|TODO: add %s|XX %s XX|%%%s%%|__%s__|#%s#|@@%s@@|[[%s]]|<insert %s>|{%% %s %%}".split("|")
-_FRAMES = "Course: %s|Deadline: %s|Grading: %s counts for %s of the mark.|Welcome to %s, taught by %s in %s.|Contact %s during %s.|Slide %s covers %s and %s.|By the end of this lesson you will be able to %s.|The term %s means %s.|Reading list for %s: %s, %s|Q: What is %s? A: %s|Module %s: %s|%s|%s\n%s".split("|")
+#: What is to be filled in, the marks that writers and programs put around it, and the lines it stands in.
+SLOTS = "name|full name|first name|user name|email|phone|address|city|company|date|time|title|subject|author|teacher|instructor|student|course|course code|module|unit|lesson|chapter|topic|concept|definition|example|answer|question|link|url|image|price|amount|number|page|grade|deadline|room|term|goal|summary|body|text|party|buyer|seller|sender|recipient|customer|client|speaker|department|school|location|venue|position|role|state|country|total|currency|version|product|project|manager|event|host|guest|group|week|day|month|year|reason|note|signature|order number|id|code|number of pages|office|web site|keyword|reference|source".split("|")
+MARKS = "{{%s}}|{{ %s }}|{%s}|{{{%s}}}|${%s}|<%%= %s %%>|{%% %s %%}|<%s>|<<%s>>|[%s]|[[%s]]|[your %s here]|[insert %s]|[enter %s]|[add %s here]|[%s goes here]|<insert %s here>|<your %s>|(%s to follow)|(insert %s here)|(your %s)|TODO: %s|TODO add the %s|TBD %s|[TBD: %s]|%%%s%%|__%s__|##%s##|@@%s@@|$%s$|*|%s|*|XXX %s XXX|FIXME %s|[%s to come]|[%s missing]|[%s to be added]|[%s to be filled out]|[fill in %s]|(fill in the %s)|(add %s)|(type the %s)|(enter the %s)|[%s TBD]|XX %s|XXX".replace("*|%s|*", "*%s*").split("|")
+LINES = "Dear %s, thank you for %s.|Hello %s,|Welcome to %s!|%s|%s %s|By %s on %s|Due: %s|Taught by %s, %s|Questions? Write to %s.|This agreement is between %s and %s.|Signed by %s for %s|In %s we look at %s.|A %s is %s.|%s: %s|- %s\n- %s|See %s for more.|Objectives: %s; %s|Copyright %s %s".split("|")
 
 
-def _placeholders() -> list[str]:
+def _cased(name: str) -> list[str]:
+    under = name.replace(" ", "_")
+    return [name, name.title(), name.upper(), under, under.upper(), under.title().replace("_", ""), name.replace(" ", "-"), "user." + under]
+
+
+def placeholders() -> list[str]:
+    marked = [m.replace("%s", n).replace("%%", "%") for k, name in enumerate(SLOTS) for j, m in enumerate(MARKS) for n in (_cased(name)[(k + j) % 8], _cased(name)[(k + j + 3) % 8], name.upper().replace(" ", "_") if (k + j) % 2 else name)]
     out, k = [], 0
-    names = [f(n) for n in _NAMES for f in (str, lambda n: n.replace(" ", "_"), str.upper, lambda n: n.upper().replace(" ", "_"))]
-    for n, name in enumerate(names):
-        for j, mark in enumerate(_MARKS):
-            if (n + j) % 2:
-                continue
-            frame = _FRAMES[k % len(_FRAMES)]
+    while k < len(marked):
+        line = LINES[len(out) % len(LINES)]
+        for _ in range(line.count("%s")):
+            line = line.replace("%s", marked[k % len(marked)], 1)
             k += 1
-            out.append(frame.replace("%s", mark % name))
+        out.append(line)
     return out
 
 
-FILLER = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
-Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
-Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
-Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
-Lorem duisa nostru aliquo irura ulla ulla. Ipsum quisna ulla amet duisa mollit excepta nisio fugia aliquo venio mollit.
-Sedio labora consequo quisna proido commo adipira proido anima lorem dolor ipsum. Magnet temporu vetra velita esseco enimo minima.
-Fugia consequo enimo nostru nisio nullam exerci veniam sint tempora pariat culpa irura esseco adipira.
-Click to add title
-Click to add text
-Click to add subtitle
-Click to add notes
-Type your subtitle in this box
-Type your text here
-Type something
-Insert chart caption
-Insert picture caption
-Your bullet point
-Your text here
-Your title here
-Heading placeholder
-Image placeholder
-Placeholder text
-First level
-Second level
-Third level
-Fourth level
-Fifth level
-Text goes here.
-Content goes here.
-Replace this text with your own content.
-Edit this line before you publish.
-This is dummy copy; real copy will follow.
-This is dummy text. Sample text. Sample paragraph used to show the layout only.
-Body copy, body copy, body copy.
-blah blah blah
-asdf asdf qwer asdf
-asdf qwerty asdf jkl
-test test test 123
-foo bar baz foo bar
-xxxxx xxxxx xxxxx
-""".splitlines()
-
-#: Short notices: a status code, a thing and what is wrong with it.
-_STATES = [
-    f"{lead} {code}{mark} {thing} {state}"
-    for k, (thing, state) in enumerate((t, s) for t in "page deck lesson upload module file resource quiz slide".split() for s in ("missing.", "gone.", "is locked.", "refused the request.", "failed to load.", "did not respond.", "cannot be opened.", "not available.", "not found."))
-    for lead, code, mark in [(("Status", "Error", "HTTP", "Code:", "")[k % 5], (400, 401, 403, 404, 408, 410, 429, 500, 502, 503, 504)[k % 11], (":", "", " -", "\n")[k % 4])]
-]
-ERRORS = _STATES + """404 - The module page you asked for was not found.
-404 Not Found. The requested URL was not found on this server.
-The requested file could not be located on this server.
-Page not found. The page you are looking for does not exist or has been moved.
-Error 503: the slide service is temporarily unavailable. Try again later.
-503 Service Unavailable
-500 Internal error while rendering the deck. Reference 241-T86.
-500 Internal Server Error. Something went wrong on our side.
-502 Bad Gateway
-504 Gateway timed out after 30 seconds waiting for the upstream reader.
-HTTP 403: deck missing. Incident 471366
-HTTP 410: resource gone.
-HTTP 500: module cannot be opened.
-Status 403 file gone.
-Status 504: module cannot be opened.
-Code: 429 deck missing.
-Code: 401 access refused.
-400 resource gone. 410 deck missing. 404 file missing.
-403 Forbidden. Access denied. You do not have permission to view this page.
-You do not have permission to view cipher x485. Request access from the owner.
-Access denied. Request access from the owner.
-Access to this resource has been blocked. Sign in to continue.
-Too many requests. Please wait 241 seconds and reload.
-Your session has expired. Please sign in again. Session timed out.
-Sorry, we can't reach this lesson right now. Check your connection and retry.
-Sorry, something went wrong. Please try again later.
-This lesson could not be loaded. Failed to load resource.
-Traceback (most recent call last): File "app.py", line 12, in render
-Unhandled exception: null reference. Fatal error: uncaught exception in module.
-Connection refused. Connection reset by peer. Database connection failed.
-The site is down for maintenance. We will be back soon.
-Request id 237165d943. Request id a854c059cf.
-Incident 471366
-Path: /gateway/hearing_815
-Conversion failed: unsupported stream at object 246. No text was produced.
-Export failed: unexpected end of file. Rendering failed: unsupported format. No content was produced.
-Bad request (400): missing parameter interview. Bad request: invalid token.
-Was this page useful? Yes No
-Skip to main content
-Back to top
-Copyright notice - all rights reserved
-Home | Courses | Help | Sign in
-Cookie settings
-Node receiver-14
-Oops! Something went wrong while loading ratio 383. Oops! Something went wrong.
-This page has moved or no longer exists. Return to the course home.
-Error 400 lesson not available. Try one of these links: Courses, Calendar, Library
-Error 504 upload cannot be opened. Error 404 page does not exist.
-401: lesson did not respond. 408: deck did not respond in time.
-The link you followed may be broken or the page may have been removed.
-El recurso solicitado no existe.
-Página no encontrada. No se encontró la página. Vuelva a intentarlo más tarde.
-Error del servidor. El servicio no está disponible en este momento. Acceso denegado.
-Hindi matagpuan ang pahina. Subukang muli mamaya.
-Hindi available ang serbisyo. May naganap na error. Walang pahintulot.
-Seite nicht gefunden. Der Dienst ist derzeit nicht verfügbar. Bitte versuchen Sie es später erneut. Zugriff verweigert.
-Page introuvable. Le service est momentanément indisponible. Veuillez réessayer plus tard. Accès refusé.
-ページが見つかりません。後でもう一度お試しください。サーバーエラーが発生しました。アクセスが拒否されました。
-""".splitlines()
-
-SCRIPTS = """Please enable JavaScript to view this lesson.
-Please enable JavaScript in your browser to continue.
-JavaScript is disabled. The quiz cannot be displayed without it.
-JavaScript is required to use this site. Enable it and reload.
-You need to allow scripts and cookies to continue to the deck. Then refresh this window.
-Turn on scripting in your browser settings and reload.
-Open your browser settings. Check your browser settings.
-Your browser does not support the technology this reader needs; switch scripting on.
-We detected that scripts are blocked. Please whitelist this page and refresh.
-The card trainer cannot start without client-side scripting.
-Our course site depends on client-side scripting.
-This app works best with JavaScript enabled. You have to turn on scripts to run it.
-The slide reader depends on active scripts. The reader needs scripts turned on. Change your browser settings.
-Our course site works only with scripts turned on. Enable it and reload. Then refresh this window.
-Our course site depends on JavaScript.
-Loading… If nothing appears, your client is not running scripts.
-Loading... If nothing appears, your client is not running scripts.
-noscript: this interactive page works only with active scripting.
-Necesitas activar JavaScript para ver esta lección. Active JavaScript en su navegador.
-Kailangang paganahin ang JavaScript upang mabuksan ang aralin.
-Bitte aktivieren Sie JavaScript, um diese Lektion anzuzeigen.
-Veuillez activer JavaScript pour afficher cette leçon.
-このページを表示するには、JavaScriptを有効にしてください。
-""".splitlines()
+#: The usual filler passages, and what editors show where a text has not been written.
+LATIN = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum
+pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas vestibulum tortor quam feugiat vitae ultricies eget tempor sit amet ante donec eu libero sit amet quam egestas semper aenean ultricies mi vitae est mauris placerat eleifend leo
+phasellus ultrices nulla quis nibh quisque a lectus donec consectetuer ligula vulputate sem tristique cursus nam nulla quam gravida non commodo a sodales sit amet nisi vivamus suscipit tortor eget felis porttitor volutpat curabitur arcu erat accumsan id imperdiet et"""
+
+
+def filler() -> list[str]:
+    lines = LATIN.split("\n")
+    words = sorted(set(LATIN.split()))
+    long = [w for w in words if len(w) > 4]
+    out = [x[0].upper() + x[1:] + "." for x in lines] + [" ".join(w[:9]).capitalize() + ", " + " ".join(w[9:18]) + "." for x in lines for w in [x.split()[::-1]]]
+    # made-up Latin, as generators of filler write it: stems with other endings
+    for k in range(160):
+        made = [long[(7 * k + 13 * j * j + 5 * j) % len(long)] for j in range(6)]
+        out.append(" ".join(w[: max(4, len(w) - 2 - (k + j) % 2)] + ("a", "o", "um", "is", "u", "e", "io", "ora")[(k + 3 * j) % 8] for j, w in enumerate(made)).capitalize() + ".")
+    things = "title|subtitle|text|heading|notes|caption|picture|bullet|content|description|paragraph|body|footer|question|answer|name|date".split("|")
+    asks = "Click here to add %s|Click to edit %s|Click to enter a %s|Tap to add %s|Type your %s|Type a %s here|Your %s goes here|Enter your %s here|Add a %s|Add %s text|Insert %s here|Put your %s here|%s placeholder|Sample %s|Dummy %s|Write your %s here|Double-click to edit the %s|Replace this %s with your own|This is a sample %s|This %s is only a placeholder|Edit this %s".split("|")
+    out += [a.replace("%s", t).replace("a a", "an a") for a, t in product(asks, things)]
+    out += [f"{n} level" for n in "First Second Third Fourth Fifth".split()] + [" ".join([w] * n) for w in ("blah", "test", "asdf", "foo", "bla", "text", "xxx", "xxxx", "qwerty", "dummy", "abc", "content") for n in (3, 5)]
+    out += "foo bar baz qux|asdf jkl asdf qwer zxcv|asdfghjkl qwertyuiop|lorem lorem lorem|Text to be written. More text to be written.|The final copy will be added later.|Real text comes here.|Content coming soon.|Coming soon|The real text will follow.|This is only dummy text.|This is placeholder copy until the final copy is here.|Copy goes in this place.|Body text, body text, body text.|Chart title|Insert chart title|Insert picture caption here|Insert table caption|Picture caption|Sample text to show the layout.|Replace this with the final text before publishing.|Under construction. This page is still being written.|Page intentionally left blank.|Aaaa bbbb cccc dddd.|1 2 3 test".split("|")
+    return out
+
+
+#: Notices that something could not be had: what, what is wrong with it, and what to do.
+STATUS = "400 Bad Request|401 Unauthorized|402 Payment Required|403 Forbidden|404 Not Found|405 Method Not Allowed|406 Not Acceptable|408 Request Timeout|409 Conflict|410 Gone|413 Payload Too Large|429 Too Many Requests|500 Internal Server Error|501 Not Implemented|502 Bad Gateway|503 Service Unavailable|504 Gateway Timeout".split("|")
+WHAT = "page|site|server|service|resource|file|document|request|session|connection|link|address|content|video|lesson|course|module|deck|slide|quiz|upload|URL|account|item|database|application".split("|")
+WRONG = "was not found|could not be found|cannot be found|does not exist|no longer exists|has been moved|was removed|is unavailable|is currently unavailable|is temporarily unavailable|is not available|is missing|is gone|has expired|timed out|did not respond|failed to load|could not be loaded|cannot be displayed|cannot be opened|could not be read|was refused|was rejected|is locked|is restricted|is blocked|is down for maintenance|is overloaded|is invalid|returned an error|was interrupted|was denied".split("|")
+ADVICE = "Please try again.|Try again later.|Please try again in a few minutes.|Reload the page.|Refresh and try again.|Check the address.|Check your connection and try again.|Please contact support.|Contact the administrator if this goes on.|Go back to the home page.|Return to the start page.|Please log in again.|Sign in to continue.|Ask the owner for access.|Tap to retry.|Search the site instead.|We are working on it.|Sorry for the inconvenience.|We apologize for any trouble.|Wait a while and reload.".split("|")
+OPENERS = "|Sorry, |Sorry, the |Oops! The |Error: |Error: the |The |The requested |This |Your |Unable to load: the |Something went wrong: the |Notice: the |Warning: the |We are sorry, but the |Whoops, the ".split("|")
+MORE_ERRORS = """Something went wrong. An unexpected error occurred. An error has occurred while processing your request.
+Access denied. You do not have permission to open this. You are not authorized to see this page. You don't have access to this. Permission required.
+Unable to load content. Unable to connect. Could not connect to the server. Failed to fetch. Cannot load this page. No internet connection. Network error.
+Oops! We can't find that page. We can't seem to find the page you are looking for. That link may be broken. Nothing found here. No results. Page not found.
+Your session timed out. Session expired. Please log in. Login required. Too many attempts. Rate limit exceeded. Quota exceeded. Service busy.
+Request ID: 8f2c41d0. Error code: 1020. Reference: 77-A31. Incident number 5512. Trace 90ab12. Ray 6d1f. Node web-07. Path: /var/www/index. Case 4471.
+Conversion failed. Export failed. Rendering failed. Import error. Parsing failed: unexpected token. No text could be extracted. No output was produced. File is corrupt. Unsupported format. Unexpected end of input.
+Traceback (most recent call last): File "main.py", line 3, in <module>. ValueError: invalid literal. Unhandled exception. Null pointer exception at line 40. Segmentation fault. Stack trace: at Object.run. Fatal error: out of memory. Uncaught TypeError: undefined is not a function.
+Connection refused. Connection reset. Host unreachable. DNS lookup failed. Certificate expired. Proxy error. Upstream timed out. Gateway error. Database error. Query failed.
+You do not have permission to view this file. Request permission from the owner. Ask the owner to share it. Cookie preferences. Manage cookies. Report this problem. Show details. Incident 90211
+Maintenance mode. We will be back shortly. Back soon. Scheduled maintenance. The system is being updated. Server overloaded.
+Was this helpful? Yes No. Skip to content. Home | About | Contact | Log in. Accept cookies. All rights reserved. Back to top. Privacy policy. Terms of use. Try one of these pages: Home, Search, Sitemap.
+La página no existe. No se pudo cargar la página. No se ha encontrado el recurso. Error interno del servidor. Servicio no disponible. Inténtelo de nuevo más tarde. Acceso restringido. No tiene permiso para ver esta página. Su sesión ha caducado. Algo salió mal.
+Hindi makita ang pahina. Hindi mahanap ang hinihinging pahina. Hindi mabuksan ang aralin. May nangyaring mali. Pakisubukang muli. Walang koneksyon. Hindi magagamit ang serbisyo sa ngayon. Wala kang pahintulot na tingnan ito. Nag-expire ang sesyon.
+Die Seite wurde nicht gefunden. Fehler beim Laden. Der Server antwortet nicht. Zugriff nicht erlaubt. Bitte versuchen Sie es noch einmal. Die Sitzung ist abgelaufen. Etwas ist schiefgelaufen.
+La page demandée n'existe pas. Erreur du serveur. Le service ne répond pas. Accès interdit. Veuillez réessayer. La session a expiré. Une erreur est survenue.
+A página não foi encontrada. Erro no servidor. Serviço indisponível. Tente novamente. Acesso negado. La pagina non esiste. Servizio non disponibile. Riprova più tardi.
+お探しのページは見つかりませんでした。エラーが発生しました。サーバーに接続できません。しばらくしてから再度お試しください。アクセス権限がありません。ページを表示できません。"""
+
+
+def errors() -> list[str]:
+    out, k = [], 0
+    for what, wrong in product(WHAT, WRONG):
+        k += 1
+        opener, advice = OPENERS[k % len(OPENERS)], ADVICE[(3 * k + k // 7) % len(ADVICE)]
+        out.append(f"{opener}{what} {wrong}. {advice}" if k % 3 else f"{STATUS[k % len(STATUS)].split()[0]}{(': ', ' - ', ' ')[k % 9 // 3]}{what} {wrong}.")
+    for k, status in enumerate(STATUS):
+        out += [status, f"Error {status}", f"HTTP {status}. {ADVICE[k % len(ADVICE)]}", f"HTTP Error {status[:3]}", f"Status {status[:3]}: {status[4:].lower()}", f"{status[:3]} - {status[4:]}", f"Code {status[:3]}: {WHAT[k % len(WHAT)]} {WRONG[k % len(WRONG)]}", f"Error code {status[:3]}"]
+    return out + MORE_ERRORS.split("\n")
+
+
+#: Notices that scripts must be switched on.
+NEEDS = "requires|needs|depends on|relies on|only works with|works best with|does not work without|will not start without|cannot be shown without|cannot run without|uses".split("|")
+SCRIPT = "JavaScript|scripts|scripting|client-side scripts|active scripting|JavaScript and cookies|scripts to be enabled|JavaScript to be turned on".split("|")
+READER = "This page|This site|This website|The page|This app|The application|Our site|The reader|The viewer|This quiz|This lesson|The player|The trainer|This form|The slide viewer|This content".split("|")
+SWITCH = "Please enable it and reload the page.|Turn it on in your browser.|Switch it on in the settings of your browser.|Allow it for this site, then refresh.|Enable it in your browser settings.|Change your settings to continue.|Then refresh this page.|Please use a browser that supports it.|".split("|")
+MORE_SCRIPTS = """Enable JavaScript to continue. Please turn on JavaScript. Turn on JavaScript before you go on. Switch on JavaScript to start. JavaScript must be enabled. You have JavaScript disabled. JavaScript is turned off in your browser. JavaScript is not enabled. You need JavaScript to see this page.
+Your browser blocks scripts. Scripts are turned off. Scripts are disabled in this browser. It looks like scripts are blocked. Your browser is not running scripts. Without scripts nothing can be displayed. Allow scripts to run. Please allow scripts for this domain and reload.
+Your browser does not support scripting. Your browser is out of date. Please switch to a newer browser. Your client does not run scripts. Disable your script blocker and reload this window. Loading, please wait. If this does not load, scripts are off.
+noscript: scripts are needed here. Interactive content needs scripting. Scripting is required to display this interactive page. Whitelist this site in your blocker.
+Debe habilitar JavaScript. Habilite JavaScript en su navegador para continuar. Por favor, habilite JavaScript. Active JavaScript y vuelva a cargar la página. Esta página necesita JavaScript. Su navegador no admite scripts.
+I-enable ang JavaScript upang magpatuloy. Kailangan ng pahinang ito ang JavaScript. Naka-off ang JavaScript sa iyong browser. Paganahin ang mga script.
+JavaScript muss eingeschaltet sein. Diese Seite braucht JavaScript. Bitte schalten Sie JavaScript in Ihrem Browser ein.
+JavaScript doit être activé. Cette page nécessite JavaScript. Activez JavaScript dans votre navigateur.
+Ative o JavaScript no seu navegador. Questa pagina richiede JavaScript. Abilita JavaScript nel browser.
+JavaScriptを有効にしてからもう一度お試しください。このサイトではJavaScriptが必要です。"""
+
+
+def scripts() -> list[str]:
+    both = [f"{r} {n} {s}. {SWITCH[(k + k // 5) % len(SWITCH)]}" for k, (r, n, s) in enumerate(product(READER, NEEDS, SCRIPT)) if k % 3 == 0]
+    return both + MORE_SCRIPTS.split("\n")
+
 
 #: Texts that teach or explain such things, and exercises: natural prose.
-NATURAL = """In a template engine, a placeholder such as {{name}} is replaced by a value before the page is sent.
-In the template, {{ title }} stands for the title that the program fills in later.
-The string ${total} in the example stands for a shell variable, and the program prints it.
-A variable is written ${home} in the shell, and %PATH% on another system.
-The angle brackets in <stdio.h> tell the compiler where to look for the header.
-A noscript element tells visitors to enable JavaScript; screen readers treat it like any other element.
-Designers call the passage that opens with lorem ipsum filler text, and printers have long used it to judge a layout without a meaning.
-The words lorem ipsum come from a work of Cicero and are used as filler by designers.
-The error message "access denied" appears when the user lacks a permission bit, as the table shows.
-A web server answers with status 404 when the requested page is not found; the lesson compares it with status 410 for a removed page.
-The server answers with status 404 when the requested page is not found. When the requested page is not found, the lesson compares it with status 410 for a page.
-The status code 503 means that a server is unavailable; students compare it with code 500.
-To read a traceback, start from its last line: it names the exception raised in the program.
-Students explain why a browser shows a message when JavaScript is disabled.
-Fill in the blank: The ________ stores the value. (fill in the blank)
-The ____ carries code x8 and protects the ____ during the ____ . (fill in the blank)
-Complete the sentence: A _______ is a kind of ______.
-The status bar shows 404 pages, and error 503 appears in the list of codes that the chapter explains.
-The request timed out because the page was not loaded, so the client waits 245 seconds and retries the manual request.
+NATURAL = """A template engine replaces a placeholder such as {{ user }} by a value before the page is sent to the reader.
+In this template the mark {{ heading }} stands for what the program fills in later, and ${sum} is replaced in the same way.
+In the shell a variable is written ${path}; on another system it is %TEMP%, and a header is included as <math.h> in angle brackets.
+In the example the string ${price} is a variable of the shell, and the program prints its value; ${total} and ${count} are others. Such a string stands for a value.
+A list is written [1, 2, 3] and an index x[i] picks one of its items; a set is written {a, b}.
+A noscript element tells visitors without scripts what they miss; a screen reader treats it as any other element of the page.
+The noscript element holds what a browser shows when JavaScript is switched off; students explain why some readers browse without it.
+JavaScript is a language for web pages. It runs in the browser, and a lesson compares it with other languages. Scripts change the page after it has loaded.
+Typographers call dummy passages filler text; the best known begins with the words lorem ipsum, which come from a work of Cicero.
+Printers have used lorem ipsum as filler for centuries because its letters are spread as in a real text.
+When a server does not find what was requested it answers with status 404; status 410 tells that a page is gone for good.
+Status 404 is the answer of a server when the requested page is not found, and a lesson on the web compares it with other codes of status.
+Learners see how a browser tells that a page was not found or that access was denied, and what the server wrote in its log at that time.
+The status 503 tells that a server is not available for a while; students compare it with 500, an error within the server, and 403, which means that access is refused.
+The message "permission denied" is shown when a user lacks a right, as the table of permission bits explains.
+You do not have permission to enter the laboratory without a badge. The session in the afternoon was not available to visitors. The page of the book is missing.
+Reading a traceback begins at its last line, which names the exception that the program raised, and goes on to the line where it happened.
+An exception is handled where the program can do something about it; an error code that nobody reads is lost.
+A request may time out when the network is slow, so the client waits and tries again; the lesson explains why it waits longer each time.
+Fill in the blank: The ________ keeps the value until it is needed. Complete the sentence: A _______ is a sort of ______. The ____ carries the message. (fill in the blank) The ____ and the ____ are joined by a ____.
 1234567890123456789012345 1 12 123 1234 12345 123456 1234567 12345678
-foo_bar->baz(); if (x == 0) { return y; } int main(void) { printf("%d", n); }
-""".splitlines()
+foo_bar->baz(); if (x == 0) { return y; } int main(void) { printf("%d", n); }""".split("\n")
 CLASSES = ("placeholder", "filler", "error", "scripts")
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _STIR = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: Stands before a text and between texts.
+_EDGE = 1
 
 
 def _codes(text: str) -> np.ndarray:
-    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    x = np.where((x >= 48) & (x <= 57), np.uint64(48), x)
-    return np.where((x == 9) | (x == 13) | (x == 160), np.uint64(32), x)
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    x = np.where((x >= 48) & (x <= 57), np.uint32(48), x)
+    return np.where((x == 9) | (x == 13) | (x == 160), np.uint32(32), x)
+
+
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of all texts with edges before each, so that no n-gram reaches into another text, and the begin and size of each."""
+    gap = np.full(max(ORDERS) - 1, _EDGE, np.uint32)
+    parts = [_codes(t) for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    begins = np.cumsum(sizes + len(gap)) - sizes
+    return np.concatenate([x for p in parts for x in (gap, p)]) if parts else np.zeros(0, np.uint32), begins, sizes
 
 
 def _slots(codes: np.ndarray) -> list[np.ndarray]:
-    """The table slot of the n-gram that ends at each place, for each order (shorter ones at the beginning)."""
-    out, h = [], np.zeros(len(codes), np.uint64)
+    """The table slot of the n-gram that ends at each place, for each order."""
+    out, h = [], np.zeros(len(codes), np.uint32)
     with np.errstate(over="ignore"):
         for k in range(max(ORDERS)):
-            back = np.concatenate([np.full(min(k, len(codes)), 1, np.uint64), codes[: max(0, len(codes) - k)]])
-            h = (h * _BASE) ^ (back + np.uint64(k + 1))
-            m = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append((m >> np.uint64(64 - BITS)).astype(np.int64))
+            h *= _BASE
+            h[k:] ^= codes[: len(codes) - k] + np.uint32(k + 1)
+            h[:k] ^= np.uint32(_EDGE + k + 1)
+            m = h ^ (h >> np.uint32(15))
+            m *= _STIR
+            m >>= np.uint32(32 - BITS)
+            out.append(m)
     return out
 
 
-def _fit(texts: list[str], repeat: int = 1) -> np.ndarray:
-    """Tables [order, slot] of weighted conditional probabilities of a class."""
-    text = "\n" + "\n".join(t for t in texts if t) + "\n"
-    codes = _codes(text)
-    slots = _slots(codes)
-    before = [np.zeros(len(codes), np.int64)] + [np.concatenate([[0], s[:-1]]) for s in slots]
-    table = np.zeros((len(ORDERS), 1 << BITS), np.float32)
-    for k, w in zip(ORDERS, WEIGHTS):
-        grams = np.bincount(slots[k - 1], minlength=1 << BITS)
-        contexts = np.bincount(before[k - 1], minlength=1 << BITS)
-        # a context seen once predicts with less than certainty
-        table[k - 1, slots[k - 1]] = w * grams[slots[k - 1]] / (contexts[before[k - 1]] + 1.0)
-    return table
+def _inside(begins: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which places belong to a text and not to an edge."""
+    steps = np.zeros(n + 1, np.int8)
+    np.add.at(steps, begins, 1)
+    np.add.at(steps, begins + sizes, -1)
+    return np.cumsum(steps[:-1], dtype=np.int8) > 0
+
+
+def counted(texts: list[str], weight: float = 1.0) -> np.ndarray:
+    """[order, slot]: the n-grams of the texts."""
+    codes, begins, sizes = _joined(texts)
+    keep = _inside(begins, sizes, len(codes))
+    return np.stack([np.bincount(s[keep], minlength=1 << BITS) for s in _slots(codes)]) * weight
 
 
-def _logs(table: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-    p = np.full(len(slots[0]), FLOOR, np.float32)
-    for k, s in enumerate(slots):
-        p += table[k, s]
-    return np.log(p)
+def _fit(texts: list[str]) -> np.ndarray:
+    """[order, slot]: the weighted conditional probabilities of a class; a context seen once predicts with less than certainty."""
+    codes, begins, sizes = _joined(texts)
+    keep = _inside(begins, sizes, len(codes))
+    slots = [s[keep] for s in _slots(codes)]
+    counts = [np.bincount(s, minlength=1 << BITS) for s in slots]
+    before = [np.full(int(keep.sum()), keep.sum(), np.float64)] + [counts[k][np.concatenate([s[:1], s[:-1]])] for k, s in enumerate(slots[:-1])]
+    table = np.zeros((len(ORDERS), 1 << BITS), np.float32)
+    for k, w in enumerate(WEIGHTS):
+        table[k, slots[k]] = w * np.minimum(1, counts[k][slots[k]] / (before[k] + 1.0))
+    return table
 
 
 class Models:
-    def __init__(self, sample: list[str]):
-        self.classes = [_fit(x) for x in (_placeholders(), FILLER, ERRORS, SCRIPTS)]
-        lines = [p for t in sample for p in t.split("\n") if p.strip()]
-        text = "\n".join(lines)
-        self.natural = _fit([text] + NATURAL * REPEAT)
-        if lines:
-            slots = _slots(_codes(text))
-            begins = np.cumsum([0] + [len(p) + 1 for p in lines])[:-1]
-            own = np.stack([_logs(c, slots) for c in self.classes])
-            # first the lines that a residue model explains about as well as a model fitted on them, then those it still marks
-            gap = np.add.reduceat(own, begins, axis=1).max(0) - np.add.reduceat(_logs(self.natural, slots), begins)
-            keep = gap < -FIRST_GAP * np.diff(np.append(begins, len(text)))
-            for _ in range(2):
-                self.natural = _fit([p for p, k in zip(lines, keep) if k] + NATURAL * REPEAT)
-                base = _logs(self.natural, slots)
-                marked = np.zeros(max(0, len(text) - WINDOW), bool)
-                for c in own:  # one class at a time, to hold less
-                    sums = np.cumsum(c - base, dtype=np.float64)
-                    marked |= sums[WINDOW:] - sums[: len(marked)] >= THRESHOLD
-                hot = np.flatnonzero(marked)
-                keep[np.searchsorted(begins, hot + WINDOW // 2, side="right") - 1] = False  # the line that holds its middle
-            self.natural = _fit([p for p, k in zip(lines, keep) if k] + NATURAL * REPEAT)
-
-    def ratios(self, text: str) -> np.ndarray:
-        slots = _slots(_codes(text))
-        base = _logs(self.natural, slots)
-        return np.stack([_logs(c, slots) - base for c in self.classes])
-
-    def windows(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The best ratio of the window that starts at each place, and its class; one window for a shorter text."""
-        r = self.ratios(text)
-        n = r.shape[1]
-        if n == 0:
-            return np.zeros(0), np.zeros(0, np.int64)
-        w = min(WINDOW, n)
-        sums = np.cumsum(np.concatenate([np.zeros((len(r), 1)), r], axis=1), axis=1)
-        at = sums[:, w:] - sums[:, : n - w + 1]
-        return at.max(0), at.argmax(0)
-
-    def judge(self, text: str) -> tuple[int, str | None]:
-        """(characters covered by residue windows, class of the strongest)."""
-        best, which = self.windows(text)
+    """The tables of the residue classes, [order, slot, class], and of natural prose, [order, slot] of counts."""
+
+    def __init__(self, counts: np.ndarray):
+        classes = [_fit(x) for x in (placeholders(), filler(), errors(), scripts())]
+        self.tables = np.ascontiguousarray(np.stack(classes, axis=2))
+        self.smooth = np.float32(max(FEW, RARE * counts[0].sum()))
+        natural = counts + counted(NATURAL, EXAMPLE * float(self.smooth))
+        self.total, self.natural = np.float32(natural[0].sum()), natural.astype(np.float32)
+
+    def ratios(self, codes: np.ndarray) -> np.ndarray:
+        """[place, class]: the log-likelihood ratio of each class to natural prose."""
+        own = np.full((len(codes), len(CLASSES)), FLOOR, np.float32)
+        base = np.full(len(codes), FLOOR, np.float32)
+        before = None
+        for k, (s, w) in enumerate(zip(_slots(codes), WEIGHTS)):
+            own += np.take(self.tables[k], s, axis=0)
+            here = np.take(self.natural[k], s)
+            context = self.total if before is None else np.concatenate([here[:1], before[:-1]])
+            base += np.float32(w) * np.minimum(np.float32(1), here / (context + self.smooth))
+            before = here
+        return np.log(own / base[:, None])
+
+    def judged(self, texts: list[str]) -> list[tuple[int, str | None]]:
+        """(characters covered by residue windows, class of the strongest) of each text; a text shorter than a window is one."""
+        codes, begins, sizes = _joined(texts)
+        if not sizes.sum():
+            return [(0, None)] * len(texts)
+        ratios = self.ratios(codes)
+        ratios[~_inside(begins, sizes, len(codes))] = 0
+        sums = np.zeros((len(codes) + WINDOW + 1, len(CLASSES)))
+        np.cumsum(ratios, axis=0, dtype=np.float64, out=sums[1 : len(codes) + 1])
+        sums[len(codes) + 1 :] = sums[len(codes)]
+        at = sums[WINDOW : WINDOW + len(codes)] - sums[: len(codes)]
+        # a window lies in one text; a text that is shorter is one window
+        starts, full, short = np.zeros(len(codes) + 1, np.int8), sizes > 0, (sizes > 0) & (sizes < WINDOW)
+        at[begins[short]] = sums[(begins + sizes)[short]] - sums[begins[short]]
+        best = at.max(1)
+        np.add.at(starts, begins[full], 1)
+        np.add.at(starts, begins[full] + np.maximum(sizes[full] - WINDOW, 0) + 1, -1)
+        best[np.cumsum(starts[:-1]) <= 0] = -np.inf
         hot = np.flatnonzero(best >= THRESHOLD)
-        if not len(hot):
-            return 0, None
-        w = min(WINDOW, len(text))
-        covered = np.minimum(np.diff(hot, append=hot[-1] + w), w).sum()
-        return int(covered), CLASSES[int(which[best.argmax()])]
+        owner = np.searchsorted(begins, hot, side="right") - 1
+        out: list[tuple[int, str | None]] = [(0, None)] * len(texts)
+        for k in np.unique(owner):
+            mine = hot[owner == k]
+            w = min(WINDOW, int(sizes[k]))
+            covered = np.minimum(np.diff(mine, append=mine[-1] + w), w).sum()
+            out[k] = int(covered), CLASSES[int(at[mine[best[mine].argmax()]].argmax())]
+        return out
+
+
+def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """[begin, end) of the texts that are looked at together."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > TOGETHER:
+            yield begin, k
+            begin, held = k, 0
+        held += len(t) + 4
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def fit(docs: DataFrame, text: str = "text") -> Models:
+    """Models whose natural prose is counted over all documents: one pass, of which each task gives at most (orders * 2^BITS) numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(ORDERS), 1 << BITS))
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in _together(texts):
+                counts += counted(texts[a:b])
+        place = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(counts.ravel()[place])], ["place", "n"])
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Models:
-    """Models whose natural prose comes from the SAMPLE_DOCS documents of the smallest hashed keys (fewer if there are fewer)."""
-    rows = docs.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t")).orderBy("h", "k").limit(SAMPLE_DOCS).collect()
-    return Models([r["t"] for r in rows])
+    rows = docs.select(F.col(text).alias("text")).where(F.length("text") > 0).mapInArrow(run, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(ORDERS) << BITS)
+    counts[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
+    return Models(counts.reshape(len(ORDERS), -1))
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,13 +312,14 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Null, empty and blank texts are none. A repeated row is judged each time; other columns are not read; texts of any length are
     scored whole. An empty table gives no row.
     """
-    models = docs.sparkSession.sparkContext.broadcast(fit(docs, key, text))  # of a fixed size: 5 classes x 5 orders x 2^17 slots
+    models = docs.sparkSession.sparkContext.broadcast(fit(docs, text))  # of a fixed size: 5 classes x 5 orders x 2^BITS slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = models.value
         for batch in batches:
-            found = [(k, kind, covered) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for covered, kind in [m.judge(t)] if covered >= COVER]
-            cols = list(zip(*found)) or [(), (), ()]
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            judged = [j for a, b in _together(texts) for j in m.judged(texts[a:b])]
+            cols = list(zip(*[(k, kind, covered) for k, (covered, kind) in zip(keys, judged) if covered >= COVER])) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], ["doc_id", "kind", "covered"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S")).mapInArrow(run, "doc_id bigint, kind string, covered int")
