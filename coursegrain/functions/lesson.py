@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no content in a fact, and first verbs of a predicate.
-BRIDGE_WORDS = "a an and are as at be by can for from has have in is it its of on or that the their this to was were which with".split()
-NEGATIONS = "cannot without never neither nor not no none unlike".split()
+from coursegrain.functions.unicode import folded
+
+#: Words that carry no content in a fact, negations of a fact, and verbs with which a predicate begins.
+BRIDGE_WORDS = "a an and are as be been being described describes in include includes is its of refer refers that the through to was were which within with".split()
+FACT_NEGATIONS = "except never no not without".split()
+PREDICATE = (
+    r"is|are|was|were|has|have|had|can|could|may|might|must|should|would|refers?|means?|defines?|describes?|outlines?|addresses?|includes?|contains?|comprises?|consists?|involves?|uses?|stores?|produces?|converts?|causes?"
+    r"|affects?|determines?|requires?|enables?|supports?|provides?|allows?|prevents?|reduces?|increases?|improves?|measures?|measured|measuring|evaluates?|evaluated|evaluating|assesses?|assessed|assessing|categorizes?|categorized"
+    r"|represents?|follows?|precedes?|creates?|controls?|performs?|occurs?|exists?|depends?|leads?|results?"
+)
 MISSING = ("not specified", "[unreadable text]", "n/a", "")
 
 
@@ -28,12 +35,6 @@ def alnum_count(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
-def fact_text(c: Column) -> Column:
-    """One line without a leading dash or list marker."""
-    x = F.trim(F.regexp_replace(c, r"\s+", " "))
-    return F.regexp_replace(F.regexp_replace(x, "^- ", ""), r"^(\(?[0-9]{1,2}[.)]|[•*▪]) +", "")
-
-
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 #: Before and after a word, for engines whose word boundaries know ASCII only.
 _A, _B = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
@@ -97,8 +98,8 @@ def no_fact_reason(s: Column, topic: Column, kind: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Runs of ASCII letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1)
+    """Runs of ASCII letters and digits of the folded text."""
+    return F.regexp_extract_all(folded(c), F.lit("([a-z0-9]+)"), 1)
 
 
 def normal_form(c: Column) -> Column:
@@ -109,8 +110,14 @@ def content_tokens(c: Column) -> Column:
     return F.filter(tokens(c), lambda x: ~x.isin(*BRIDGE_WORDS))
 
 
+def subject_tokens(c: Column) -> Column:
+    """The distinct content words before the predicate's first verb, in order of name; none where there is no such verb."""
+    before = F.regexp_extract(normal_form(c), rf"^(.*?)\b(?:{PREDICATE})\b", 1)
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.trim(before), " "), lambda x: (x != "") & ~x.isin(*BRIDGE_WORDS))))
+
+
 def is_enumeration(c: Column) -> Column:
-    return (F.length(c) - F.length(F.translate(c, ",;", "")) >= 2) | (F.size(F.regexp_extract_all(c, F.lit(r"([0-9]+[.)])"), 1)) >= 3)
+    return (F.length(c) - F.length(F.translate(c, ",;", "")) >= 2) | (F.size(F.regexp_extract_all(c, F.lit(r"((?:^|\s)[0-9]+[.)]\s)"), 1)) >= 3)
 
 
 def safe_component(c: Column, fallback: str) -> Column:
@@ -123,28 +130,6 @@ def module_label(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]+$"), F.regexp_replace(c, "^0+(?=[0-9])", "")).otherwise(safe_component(c, "module"))
 
 
-def entity_key(c: Column) -> Column:
-    """Canonical key of an entity: squeezed, lower case; law-like identifiers by their kind and number."""
-    x = F.replace(F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))), F.lit("–"), F.lit("-"))
-    number = F.regexp_extract(x, r"\b([0-9]{2,})\b", 1)
-    kind = F.regexp_extract(x, r"\b(republic act|executive order|act|law|ra|eo|proclamation|ordinance|resolution)\b", 1)
-    named = F.when(kind.isin("republic act", "act", "law", "ra"), "act").when(kind.isin("executive order", "eo"), "order").when(kind != "", kind)
-    return F.when((number != "") & named.isNotNull(), F.concat(F.lit("legal:"), named, F.lit(":"), number)).otherwise(x)
-
-
-def stem(c: Column) -> Column:
-    """Plural and verb endings taken off longer words; numbers stay."""
-    return (
-        F.when(c.rlike("^[0-9]+$"), c)
-        .when(c.rlike("...ies$"), F.regexp_replace(c, "ies$", "y"))
-        .when(c.rlike("...(s|x|ch|sh)es$"), F.regexp_replace(c, "es$", ""))
-        .when(c.rlike("...[^s]s$"), F.regexp_replace(c, "s$", ""))
-        .when(c.rlike("....ing$"), F.regexp_replace(c, "ing$", ""))
-        .when(c.rlike("....ed$"), F.regexp_replace(c, "ed$", ""))
-        .otherwise(c)
-    )
-
-
 def duration(seconds: Column) -> Column:
     s = F.bround(seconds).cast("bigint")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")

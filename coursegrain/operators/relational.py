@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 from coursegrain.sources.tables import cut
 
 
-def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; an aggregation, so a hot key combines on the map side and never sorts in one task."""
-    rest = [c for c in df.columns if c not in key and c not in order]
-    best = df.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("_b"))
-    return best.select(*key, *[F.col(f"_b.{c}").alias(c) for c in order + rest])
-
-
 def windows(df: DataFrame, keys: list[str], tokens: Column, size: int, overlap: int) -> DataFrame:
     """(keys, chunk_no, first, last, chunk): consecutive windows of ``size`` tokens, each ``overlap`` into the one before."""
     step = size - overlap
@@ -42,19 +35,7 @@ def recent_within_budget(df: DataFrame, group: list[str], text: str, order: str,
     return x.where((F.col("_s") <= budget) | (F.col("_n") == 1)).drop("_n", "_s")
 
 
-def one_word_edits(df: DataFrame, block: list[str], key: str, words: str) -> DataFrame:
-    """(block, id_a, id_b): different word lists of a block that differ by one inserted or deleted word.
-
-    Each list meets others on a hash of itself and of itself without one word: an equality join, verified on the words.
-    """
-    base = df.select(*block, key, words).where(F.size(words) > 0)
-    gone = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.concat(F.slice(words, 1, i - 1), F.slice(words, i + 1, F.size(words))), " "))
-    short = base.select(*block, F.col(key).alias("x"), F.explode(F.array_distinct(gone)).alias("w"))
-    full = base.select(*block, F.col(key).alias("y"), F.array_join(words, " ").alias("w"))
-    return short.join(full, [*block, "w"]).select(*block, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node name of each connected component, by alternating star contraction.
 
     Each round links the neighbours of a node to the smallest of them, so the number of rounds grows with the logarithm of the
@@ -63,7 +44,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     now = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
+    while now.take(1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -74,8 +55,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         now = following
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.join(now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coursegrain.functions import lesson as L
+from coursegrain.functions.unicode import folded_sql
 from coursegrain.operators import relational as R
 from coursegrain.sources.tables import table
 
@@ -26,39 +27,25 @@ def query(sql: str | None = None):
 
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(replace({0}, chr(0), ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 _BRIDGE = ", ".join(f"'{w}'" for w in L.BRIDGE_WORDS)
-_FACT = r"regexp_replace(regexp_replace(trim(regexp_replace(statement, '\s+', ' ', 'g')), '^- ', ''), '^(\(?[0-9]{1,2}[.)]|[•*▪]) +', '')"
-_TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 
-@query(rf"""SELECT page_id, number, alnum, CASE WHEN alnum >= 40 THEN 'text' WHEN method = 'ocr' AND alnum >= 1 THEN 'ocr' WHEN alnum >= 1 THEN 'text' ELSE 'unreadable' END AS decided
-FROM (SELECT page_id, number, method, length(regexp_replace(coalesce({_CLEAN.format('text')}, ''), '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum FROM extracted_pages)""")
-def src1_page_method(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "extracted_pages", "page_id", "number", "method", "text").select("page_id", "number", "method", F.coalesce(L.alnum_count(L.cleaned(F.col("text"))), F.lit(0)).cast("bigint").alias("alnum"))
-    return p.select("page_id", "number", "alnum", F.when(F.col("alnum") >= 40, "text").when((F.col("method") == "ocr") & (F.col("alnum") >= 1), "ocr").when(F.col("alnum") >= 1, "text").otherwise("unreadable").alias("decided"))
-
-
-def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", "doc_id", "doc_kind", "text").where("doc_kind = 'module_text'")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)).alias("at", "line")).withColumn("line", F.trim("line"))
-    slide, section = F.regexp_extract("line", r"^\[SLIDE ([0-9]+)\]$", 1), F.regexp_extract("line", r"^\[(/?(?:TITLE|CONTENT|VISUAL_TEXT|DEFINITIONS|KNOWLEDGE_STATEMENTS|BRIEF_EXPLANATION|MODULE|/?SLIDE))", 1)
-    return R.forward_filled(lines, ["doc_id"], "at", {"slide_no": F.when(slide != "", slide.cast("int")), "section": F.when(section != "", section)})
+def _lesson_fact(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '{L._SPACE}', ' ', 'g')), '^- ', ''), '{L.LIST_MARKER}', ''))"
 
 
-_TAGGED = r"""lines AS (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, trim(unnest(l), ' ') AS line FROM (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM documents WHERE doc_kind = 'module_text' AND text IS NOT NULL)),
-marked AS (SELECT *, try_cast(nullif(regexp_extract(line, '^\[SLIDE ([0-9]+)\]$', 1), '') AS INT) AS s, nullif(regexp_extract(line, '^\[(/?(?:TITLE|CONTENT|VISUAL_TEXT|DEFINITIONS|KNOWLEDGE_STATEMENTS|BRIEF_EXPLANATION|MODULE|/?SLIDE))', 1), '') AS t FROM lines),
-tagged AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS slide_no, last_value(t IGNORE NULLS) OVER w AS section FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+def _tok(x: str) -> str:
+    return f"regexp_extract_all({folded_sql(x)}, '[a-z0-9]+')"
 
 
-@query(rf"WITH {_TAGGED} SELECT doc_id, slide_no, section, count(*) AS n_lines, min(line) AS first_line FROM tagged WHERE section NOT LIKE '/%' AND line <> '' AND NOT starts_with(line, '[') GROUP BY doc_id, slide_no, section")
-def src4_sections(spark: SparkSession, d: str) -> DataFrame:
-    t = _tagged(spark, d).where("section NOT LIKE '/%' AND line <> '' AND NOT startswith(line, '[')")
-    return t.groupBy("doc_id", "slide_no", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.min("line").alias("first_line"))
+def _normal(x: str) -> str:
+    return f"array_to_string({_tok(x)}, ' ')"
 
 
-@query(rf"WITH {_TAGGED} SELECT doc_id, regexp_extract(line, '^([a-z_]+): *(.*)$', 1) AS name, max(regexp_extract(line, '^([a-z_]+): *(.*)$', 2)) AS value FROM tagged WHERE section = 'MODULE' AND regexp_matches(line, '^[a-z_]+: *[^ ]') GROUP BY ALL")
-def src4_metadata(spark: SparkSession, d: str) -> DataFrame:
-    t = _tagged(spark, d).where("section = 'MODULE'").where(F.col("line").rlike("^[a-z_]+: *[^ ]"))
-    return t.select("doc_id", F.regexp_extract("line", "^([a-z_]+): *(.*)$", 1).alias("name"), F.regexp_extract("line", "^([a-z_]+): *(.*)$", 2).alias("value")).groupBy("doc_id", "name").agg(F.max("value").alias("value"))
+@query(rf"""SELECT page_id, number, alnum, CASE WHEN alnum >= 40 THEN 'text' WHEN method = 'ocr' AND alnum >= 1 THEN 'ocr' WHEN alnum >= 1 THEN 'text' ELSE 'unreadable' END AS decided
+FROM (SELECT page_id, number, method, length(regexp_replace(coalesce({_CLEAN.format('text')}, ''), '[^\p{{L}}\p{{N}}]', '', 'g')) AS alnum FROM extracted_pages)""")
+def src1_page_method(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "extracted_pages", "page_id", "number", "method", "text").select("page_id", "number", "method", F.coalesce(L.alnum_count(L.cleaned(F.col("text"))), F.lit(0)).cast("bigint").alias("alnum"))
+    return p.select("page_id", "number", "alnum", F.when(F.col("alnum") >= 40, "text").when((F.col("method") == "ocr") & (F.col("alnum") >= 1), "ocr").when(F.col("alnum") >= 1, "text").otherwise("unreadable").alias("decided"))
 
 
 @query(f"SELECT page_id, length(c) AS n, md5(c) AS digest FROM (SELECT page_id, {_CLEAN.format('text')} AS c FROM extracted_pages)")
@@ -72,13 +59,13 @@ def str2_without_specks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_pages", "page_id", "text").select("page_id", F.md5(L.without_specks(F.col("text"))).alias("digest"))
 
 
-_FACTS = rf"""f AS (SELECT fact_row, course_code, module_number, kind, topic, slides, {_FACT} AS s FROM facts),
-n AS (SELECT *, array_to_string({_TOK.format('s')}, ' ') AS form, list_filter({_TOK.format('s')}, lambda x: x NOT IN ({_BRIDGE})) AS content,
-  length(s) - length(translate(s, ',;', '')) >= 2 OR len(regexp_extract_all(s, '[0-9]+[.)]')) >= 3 AS listing FROM f)"""
+_FACTS = rf"""f AS (SELECT fact_row, course_code, module_number, kind, topic, slides, {_lesson_fact('statement')} AS s FROM facts),
+n AS (SELECT *, {_normal('s')} AS form, list_filter({_tok('s')}, lambda x: x NOT IN ({_BRIDGE})) AS content,
+  length(s) - length(translate(s, ',;', '')) >= 2 OR len(regexp_extract_all(s, '(?:^|\s)[0-9]+[.)]\s')) >= 3 AS listing FROM f)"""
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "facts", "fact_row", *M, "kind", "topic", "slides", "statement").withColumn("s", L.fact_text(F.col("statement"))).drop("statement")
+    f = table(spark, d, "facts", "fact_row", *M, "kind", "topic", "slides", "statement").withColumn("s", L.lesson_fact(F.col("statement"))).drop("statement")
     return f.select("*", L.normal_form(F.col("s")).alias("form"), L.content_tokens(F.col("s")).alias("content"), L.is_enumeration(F.col("s")).alias("listing"))
 
 
@@ -87,28 +74,7 @@ def str5_fact_forms(spark: SparkSession, d: str) -> DataFrame:
     return _facts(spark, d).select("fact_row", F.col("s").alias("statement"), "form", F.size("content").cast("bigint").alias("n_content"), F.col("listing").cast("int").alias("listing"))
 
 
-_REASON = r"""CASE WHEN s IS NULL OR lower(s) IN ('not specified', '[unreadable text]', 'n/a', '') THEN 'missing' WHEN length(s) < 5 OR NOT contains(s, ' ') THEN 'short'
- WHEN form = array_to_string(regexp_extract_all(lower(coalesce(topic, '')), '[a-z0-9]+'), ' ') THEN 'topic' WHEN regexp_matches(s, '(?i)https?://|www\.|doi\.org') THEN 'address'
- WHEN regexp_matches(s, '[?？]$') THEN 'question' WHEN kind IN ('title', 'header', 'heading', 'objective') THEN 'structural' WHEN regexp_matches(s, '(\.\.\.|…)$') THEN 'fragment' END"""
-
-
-@query(f"WITH {_FACTS} SELECT fact_row, {_REASON} AS reason FROM n")
-def flt1_fact_filter(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("s")
-    reason = (
-        F.when(s.isNull() | F.lower(s).isin(*L.MISSING), "missing").when((F.length(s) < 5) | ~F.contains(s, F.lit(" ")), "short")
-        .when(F.col("form") == L.normal_form(F.coalesce("topic", F.lit(""))), "topic").when(s.rlike(r"(?i)https?://|www\.|doi\.org"), "address")
-        .when(s.rlike("[?？]$"), "question").when(F.col("kind").isin("title", "header", "heading", "objective"), "structural").when(s.rlike(r"(\.\.\.|…)$"), "fragment")
-    )
-    return _facts(spark, d).select("fact_row", reason.alias("reason"))
-
-
-def _lesson_fact(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '{L._SPACE}', ' ', 'g')), '^- ', ''), '{L.LIST_MARKER}', ''))"
-
-
 _WORDS = "regexp_extract_all(s, '{0}')".format(L.CONTENT_WORD.replace("'", "''"))
-_NORMAL = "array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' ')"
 
 
 @query(rf"""WITH f AS (SELECT fact_row, {_lesson_fact('statement')} AS s, {_lesson_fact('topic')} AS about, lower(trim(coalesce(kind, ''))) AS sort FROM facts),
@@ -116,7 +82,7 @@ w AS (SELECT *, {_WORDS} AS words, regexp_extract(s, '^[A-Za-z]+') AS first FROM
 c AS (SELECT *, CASE WHEN list_contains([{', '.join(f"'{x}'" for x in L.FRAGMENT_STARTS)}], lower(first)) AND first <> upper(first) THEN false
   WHEN regexp_matches(s, '{L.FRAGMENT_END}') OR regexp_matches(s, '^[\p{{Ll}}ªº]') OR len(words) < 2 THEN false WHEN len(words) = 2 THEN regexp_matches(s, '[.!]$') AND regexp_matches(words[2], '[a-z]')
   ELSE regexp_matches(s, '[.!]$') OR contains(s, ': ') OR regexp_matches(s, '{L.RELATION_VERB}') OR (len(words) >= 8 AND len(list_filter(words, lambda x: regexp_matches(x, '[a-z]'))) >= len(words) // 2) END AS alone FROM w)
-SELECT fact_row, s AS statement, CASE WHEN lower(s) IN ('', 'not specified', '[unreadable text]') THEN 'missing' WHEN length(s) < 5 OR NOT contains(s, ' ') THEN 'short' WHEN about <> '' AND {_NORMAL.format('s')} = {_NORMAL.format('about')} THEN 'topic'
+SELECT fact_row, s AS statement, CASE WHEN lower(s) IN ('', 'not specified', '[unreadable text]') THEN 'missing' WHEN length(s) < 5 OR NOT contains(s, ' ') THEN 'short' WHEN about <> '' AND {_normal('s')} = {_normal('about')} THEN 'topic'
  {' '.join(f"WHEN regexp_matches(s, '{form}') THEN '{name}'" for name, form in L.NO_FACTS.items())}
  WHEN sort IN ('title', 'header', 'heading', 'objective') THEN 'structural' WHEN sort = 'content' AND NOT alone THEN 'not_self_contained' END AS reason FROM c""")
 def flt1_lesson_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +101,7 @@ def agg4_fact_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(u, [*M, "form"], "left").select(*M, "form", "n_rows", (-F.col("b.r")).alias("fact_row"), "slides")
 
 
-_SHARED = f"""WITH {_FACTS}, m AS (SELECT course_code, module_number, fact_row, list_distinct({_TOK.format('s')}) AS a, list_distinct({_TOK.format("coalesce(topic, '')")}) AS b FROM n)
+_SHARED = f"""WITH {_FACTS}, m AS (SELECT course_code, module_number, fact_row, list_distinct({_tok('s')}) AS a, list_distinct({_tok("coalesce(topic, '')")}) AS b FROM n)
 SELECT fact_row, len(list_intersect(a, b)) AS shared, len(a) + len(b) - len(list_intersect(a, b)) AS either FROM m WHERE a IS NOT NULL"""
 
 
@@ -164,13 +130,6 @@ _NODES = f"""WITH {_TRIPLES}, e AS (SELECT course_code, module_number, s, r, o,
 p AS (SELECT course_code, module_number, s AS k FROM e UNION ALL SELECT course_code, module_number, o FROM e), g AS (SELECT course_code, module_number, k AS label, count(*) AS degree FROM p GROUP BY ALL)"""
 
 
-@query(f"{_NODES} SELECT course_code, module_number, label, degree, 'n' || row_number() OVER (PARTITION BY course_code, module_number ORDER BY degree DESC, label) AS node_id FROM g")
-def grf2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = _triples(spark, d).select(*M, "s", "r", "o").distinct()
-    g = e.select(*M, F.explode(F.array("s", "o")).alias("label")).groupBy(*M, "label").agg(F.count(F.lit(1)).alias("degree"))
-    return g.withColumn("node_id", F.concat(F.lit("n"), F.row_number().over(W.partitionBy(*M).orderBy(F.desc("degree"), "label"))))
-
-
 @query(f"{_NODES} SELECT degree, count(*) AS n_nodes FROM g GROUP BY degree")
 def agg2_degrees(spark: SparkSession, d: str) -> DataFrame:
     e = _triples(spark, d).select(*M, "s", "r", "o").distinct()
@@ -178,30 +137,6 @@ def agg2_degrees(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("degree").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-@query(f"""WITH RECURSIVE {_TRIPLES}, k AS (SELECT DISTINCT s AS a, o AS b FROM t WHERE r IN ('same as', 'identical with', 'equals', 'is a')), u AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
-reach AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM reach r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM reach GROUP BY node""")
-def grf1_components(spark: SparkSession, d: str) -> DataFrame:
-    return R.components(_triples(spark, d).where("r IN ('same as', 'identical with', 'equals', 'is a')").select(F.col("s").alias("a"), F.col("o").alias("b")))
-
-
-@query(r"""SELECT triple_id, CASE WHEN n <> '' AND k <> '' THEN 'legal:' || CASE WHEN k IN ('republic act', 'act', 'law', 'ra') THEN 'act' WHEN k IN ('executive order', 'eo') THEN 'order' ELSE k END || ':' || n ELSE x END AS entity FROM (
-SELECT triple_id, x, regexp_extract(x, '\b([0-9]{2,})\b', 1) AS n, regexp_extract(x, '\b(republic act|executive order|act|law|ra|eo|proclamation|ordinance|resolution)\b', 1) AS k FROM (SELECT triple_id, replace(lower(trim(regexp_replace(subject, '\s+', ' ', 'g'))), '–', '-') AS x FROM triples))""")
-def str18_entity_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "triples", "triple_id", "subject").select("triple_id", L.entity_key(F.col("subject")).alias("entity"))
-
-
-@query(f"""WITH {_TRIPLES}, a AS (SELECT lower(unnest(list_concat([label], also_written))) AS phrase, relation_code FROM relation_list),
-d AS (SELECT DISTINCT r FROM t), m AS (SELECT r, relation_code, row_number() OVER (PARTITION BY r ORDER BY r <> phrase, -length(phrase), relation_code) AS k FROM d JOIN a ON contains(r, phrase)) SELECT triple_id, relation_code FROM t LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (r)""")
-def str15_alias_phrases(spark: SparkSession, d: str) -> DataFrame:
-    t = _triples(spark, d)
-    a = table(spark, d, "relation_list").select("relation_code", F.explode(F.concat(F.array("label"), "also_written")).alias("p")).select("relation_code", F.lower("p").alias("phrase"))
-    # the words of an entry and the first word of a phrase meet on equality; containment is then verified
-    spelled = t.select("r").distinct().select("r", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("r")), lambda i: F.substring(F.col("r"), i, F.lit(3))))).alias("g"))
-    m = spelled.join(a.withColumn("g", F.substring("phrase", 1, 3)), "g").where(F.contains("r", "phrase"))
-    best = m.groupBy("r").agg(F.min(F.struct((F.col("r") != F.col("phrase")).alias("x"), (-F.length("phrase")).alias("l"), "relation_code")).alias("b")).select("r", F.col("b.relation_code").alias("relation_code"))
-    return t.join(best, "r", "left").select("triple_id", "relation_code")
-
-
 @query(r"""SELECT doc_id, p AS pos, trim(m[1]) AS subject, trim(m[3]) AS relation, trim(m[2]) AS object FROM (SELECT doc_id, generate_subscripts(l, 1) AS p, [regexp_extract(unnest(l), '<triplet>([^<]*)<subj>([^<]*)<obj>([^<]*)', 1), regexp_extract(unnest(l), '<triplet>([^<]*)<subj>([^<]*)<obj>([^<]*)', 2), regexp_extract(unnest(l), '<triplet>([^<]*)<subj>([^<]*)<obj>([^<]*)', 3)] AS m FROM
 (SELECT doc_id, regexp_extract_all(text, '<triplet>[^<]*<subj>[^<]*<obj>[^<]*') AS l FROM documents WHERE contains(text, '<triplet>'))) WHERE m[1] IS NOT NULL""")
 def str14_marked_triplets(spark: SparkSession, d: str) -> DataFrame:
@@ -243,19 +178,6 @@ def inc1_course_corpus(spark: SparkSession, d: str) -> DataFrame:
     return _questions(spark, d).groupBy("course_code", "stem").agg(F.min("card_id").alias("card_id"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(f"""WITH q AS (SELECT card_id, course_code, module_number, {_STEM} AS stem FROM cards), f AS (SELECT course_code, stem, min(module_number) AS m FROM q WHERE stem <> '' GROUP BY ALL) SELECT q.card_id FROM q JOIN f USING (course_code, stem) WHERE q.module_number > f.m""")
-def join11_prior_questions(spark: SparkSession, d: str) -> DataFrame:
-    q = _questions(spark, d)
-    f = q.groupBy("course_code", "stem").agg(F.min("module_number").alias("m"))
-    return q.join(f, ["course_code", "stem"]).where("module_number > m").select("card_id")
-
-
-@query(f"""WITH q AS (SELECT card_id, course_code, module_number, card_type, string_split({_STEM}, ' ') AS w FROM cards WHERE {_STEM} <> ''), g AS (SELECT *, unnest(generate_series(1, len(w))) AS i FROM q), s AS (SELECT DISTINCT card_id, course_code, module_number, card_type, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS k FROM g)
-SELECT DISTINCT s.course_code, s.module_number, s.card_type, least(s.card_id, q.card_id) AS id_a, greatest(s.card_id, q.card_id) AS id_b FROM s JOIN q ON s.course_code = q.course_code AND s.module_number = q.module_number AND s.card_type = q.card_type AND s.k = array_to_string(q.w, ' ')""")
-def join10_one_word_edits(spark: SparkSession, d: str) -> DataFrame:
-    return R.one_word_edits(_questions(spark, d).withColumn("w", F.split("stem", " ")), [*M, "card_type"], "card_id", "w")
-
-
 @query(f"""WITH q AS (SELECT card_id, course_code, {_STEM} AS stem FROM cards), f AS (SELECT course_code, stem, min(card_id) AS card_id FROM q WHERE stem <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS n, sum(length(stem) + 1) OVER w AS s FROM f WINDOW w AS (PARTITION BY course_code ORDER BY card_id DESC ROWS UNBOUNDED PRECEDING))
 SELECT course_code, card_id, stem FROM r WHERE n <= 50 AND (s <= 1200 OR n = 1)""")
 def win3_recent_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -275,33 +197,6 @@ def agg5_cluster_types(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "cards", "cluster", "card_type", "card_pos").groupBy("cluster").agg(F.count(F.lit(1)).alias("n_cards"), n("multiple-choice"), n("identification"), n("true-false"), F.countDistinct("card_pos").alias("positions"))
 
 
-@query(r"""SELECT card_id, unnest(list_filter([
- CASE WHEN trim(question) = '' OR question IS NULL THEN 'question' END, CASE WHEN trim(expalanation) = '' OR expalanation IS NULL THEN 'expalanation' END, CASE WHEN trim(hint) = '' OR hint IS NULL THEN 'hint' END,
- CASE WHEN difficulty IS NULL OR difficulty NOT IN (1, 2, 3) THEN 'difficulty' END, CASE WHEN regexp_matches(concat_ws(' ', question, correct_option, hint), '[\r\n]') THEN 'line_break' END,
- CASE WHEN card_type = 'true-false' AND (is_true IS NULL OR is_true NOT IN (0, 1)) THEN 'is_true' END, CASE WHEN card_type <> 'true-false' AND is_true IS NOT NULL THEN 'is_true_set' END,
- CASE WHEN card_type <> 'true-false' AND NOT regexp_matches(trim(question), '\?$') THEN 'no_question_mark' END, CASE WHEN NOT regexp_full_match(cluster, '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') THEN 'cluster' END,
- CASE WHEN card_type = 'multiple-choice' AND len(list_distinct(list_filter([lower(trim(correct_option)), lower(trim(wrong_option_1)), lower(trim(wrong_option_2)), lower(trim(wrong_option_3))], lambda x: x IS NOT NULL AND x <> ''))) < 4 THEN 'options' END
-], lambda x: x IS NOT NULL)) AS rule FROM cards""")
-def val_card_rules(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "cards", "card_id", "cluster", "card_type", "question", "correct_option", "wrong_option_1", "wrong_option_2", "wrong_option_3", "is_true", "expalanation", "hint", "difficulty")
-    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    blank = lambda x: F.col(x).isNull() | (bare(x) == "")
-    options = F.array_distinct(F.filter(F.array(*[F.lower(bare(x)) for x in ("correct_option", "wrong_option_1", "wrong_option_2", "wrong_option_3")]), lambda x: x.isNotNull() & (x != "")))
-    kind = F.col("card_type")
-    rules = {
-        "question": blank("question"), "expalanation": blank("expalanation"), "hint": blank("hint"), "difficulty": F.col("difficulty").isNull() | ~F.col("difficulty").isin(1, 2, 3),
-        "line_break": F.concat_ws(" ", "question", "correct_option", "hint").rlike(r"[\r\n]"), "is_true": (kind == "true-false") & (F.col("is_true").isNull() | ~F.col("is_true").isin(0, 1)),
-        "is_true_set": (kind != "true-false") & F.col("is_true").isNotNull(), "no_question_mark": (kind != "true-false") & ~F.trim("question").rlike(r"\?$"),
-        "cluster": ~F.col("cluster").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), "options": (kind == "multiple-choice") & (F.size(options) < 4),
-    }
-    return c.select("card_id", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in rules.items()]))).alias("rule"))
-
-
-@query("SELECT course_code, module_number, sha256(source_file) AS digest, source_sha256 FROM modules")
-def hash1_digests(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "modules", *M, "source_file", "source_sha256").select(*M, F.sha2("source_file", 256).alias("digest"), "source_sha256")
-
-
 @query(r"""SELECT course_code, module_number, coalesce(nullif(regexp_replace(regexp_replace(source_file, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'module') AS file_part,
 CASE WHEN regexp_full_match(module_number, '[0-9]+') THEN CAST(CAST(module_number AS BIGINT) AS VARCHAR) ELSE module_number END AS label, coalesce(nullif(regexp_extract(lower(source_file), '(?:^|[^a-z0-9])m(?:odule)?[ _.-]?([0-9]+)', 1), ''), '1') AS number_in_name FROM modules""")
 def path1_components(spark: SparkSession, d: str) -> DataFrame:
@@ -309,105 +204,14 @@ def path1_components(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "modules", *M, "source_file").select(*M, L.safe_component(F.col("source_file"), "module").alias("file_part"), L.module_label(F.col("module_number")).alias("label"), F.coalesce(F.nullif(number, F.lit("")), F.lit("1")).alias("number_in_name"))
 
 
-@query(f"""WITH {_TRIPLES} SELECT course_code, module_number, s AS subject, r AS relation, o AS object, count(*) AS evidence_count, array_to_string(list_sort(list(DISTINCT CAST(triple_id AS VARCHAR))), ';') AS source_rows FROM t GROUP BY course_code, module_number, s, r, o""")
-def snk2_triple_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _triples(spark, d).groupBy(*M, F.col("s").alias("subject"), F.col("r").alias("relation"), F.col("o").alias("object")).agg(F.count(F.lit(1)).alias("evidence_count"), F.array_join(F.array_sort(F.collect_set(F.col("triple_id").cast("string"))), ";").alias("source_rows"))
-
-
-@query(r"""SELECT slide_id, '[SLIDE ' || number || ']' || chr(10) || '[TITLE]' || chr(10) || coalesce(nullif(trim(title), ''), 'Not Specified') || chr(10) || '[/TITLE]' || chr(10) || '[CONTENT]' || chr(10) ||
-coalesce(nullif(array_to_string(list_transform(list_filter(content, lambda x: trim(x) <> ''), lambda x: '- ' || trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)), ''), 'Not Specified') || chr(10) || '[/CONTENT]' || chr(10) || '[/SLIDE]' AS tagged FROM slides""")
-def snk1_tagged_slides(spark: SparkSession, d: str) -> DataFrame:
-    items = F.transform(F.filter("content", lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), F.trim(F.regexp_replace(x, r"\s+", " "))))
-    body = F.coalesce(F.nullif(F.array_join(items, "\n"), F.lit("")), F.lit("Not Specified"))
-    text = F.concat(F.lit("[SLIDE "), "number", F.lit("]\n[TITLE]\n"), F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Not Specified")), F.lit("\n[/TITLE]\n[CONTENT]\n"), body, F.lit("\n[/CONTENT]\n[/SLIDE]"))
-    return table(spark, d, "slides", "slide_id", "number", "title", "content").select("slide_id", text.alias("tagged"))
-
-
 @query("SELECT slide_id, p AS pos, t.term AS term, t.definition AS definition FROM (SELECT slide_id, unnest(definitions) AS t, unnest(generate_series(1, len(definitions))) AS p FROM slides)")
 def src5_definitions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "slides", "slide_id", "definitions").select("slide_id", F.posexplode("definitions").alias("p", "t"))
     return e.select("slide_id", (F.col("p") + 1).cast("bigint").alias("pos"), F.col("t.term").alias("term"), F.col("t.definition").alias("definition"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events")
-def json1_props(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events", "event_id", "event_type", "props").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), "event_type")
-
-
-@query(f"""{_NODES}, x AS (SELECT DISTINCT course_code, module_number, {_ENT.format('topic')} AS label FROM facts WHERE trim(topic) <> '') SELECT x.course_code, x.module_number, x.label FROM x ANTI JOIN g ON x.course_code = g.course_code AND x.module_number = g.module_number AND x.label = g.label""")
-def join5_topics_without_node(spark: SparkSession, d: str) -> DataFrame:
-    g = _triples(spark, d).select(*M, F.explode(F.array("s", "o")).alias("label"))
-    x = table(spark, d, "facts", *M, "topic").where("trim(topic) <> ''").select(*M, F.replace(F.lower(F.trim(F.regexp_replace("topic", r"\s+", " "))), F.lit("–"), F.lit("-")).alias("label")).distinct()
-    return x.join(g, [*M, "label"], "left_anti")
-
-
-@query("SELECT course_code, count(*) AS n_modules, sum(seconds) AS seconds FROM (SELECT course_code, module_number, date_diff('second', min(extracted_at), max(extracted_at)) AS seconds FROM extracted_pages GROUP BY course_code, module_number) GROUP BY course_code")
-def agg10_course_time(spark: SparkSession, d: str) -> DataFrame:
-    at = F.unix_seconds(F.col("extracted_at").cast("timestamp"))
-    p = table(spark, d, "extracted_pages", *M, "extracted_at").groupBy(*M).agg((F.max(at) - F.min(at)).alias("seconds"))
-    return p.groupBy("course_code").agg(F.count(F.lit(1)).alias("n_modules"), F.sum("seconds").alias("seconds"))
-
-
-@query("SELECT m.course_code, m.module_number, m.source_sha256 FROM modules m ANTI JOIN (SELECT DISTINCT course_code, module_number FROM cards) c ON c.course_code = m.course_code AND c.module_number = m.module_number")
-def inc2_pending_modules(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "modules", *M, "source_sha256").join(table(spark, d, "cards", *M), M, "left_anti")
-
-
-_STEMMED = r"""CASE WHEN regexp_full_match(w, '[0-9]+') THEN w WHEN regexp_matches(w, '...ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '...(s|x|ch|sh)es$') THEN regexp_replace(w, 'es$', '')
-WHEN regexp_matches(w, '...[^s]s$') THEN regexp_replace(w, 's$', '') WHEN regexp_matches(w, '....ing$') THEN regexp_replace(w, 'ing$', '') WHEN regexp_matches(w, '....ed$') THEN regexp_replace(w, 'ed$', '') ELSE w END"""
-
-
-@query(f"SELECT {_STEMMED} AS stem, count(*) AS n, count(DISTINCT fact_row) AS n_facts FROM (SELECT fact_row, unnest({_TOK.format('statement')}) AS w FROM facts) GROUP BY 1")
-def str24_stems(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "facts", "fact_row", "statement").select("fact_row", F.explode(L.tokens(F.col("statement"))).alias("w")).select("fact_row", L.stem(F.col("w")).alias("stem"))
-    per = w.groupBy("stem", "fact_row").agg(F.count(F.lit(1)).alias("c"))  # fact_row is unique: no distinct count over a hot stem
-    return per.groupBy("stem").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_facts"))
-
-
-_NEG = ", ".join(f"'{w}'" for w in L.NEGATIONS)
-
-
-@query(rf"""SELECT card_id, array_to_string(list_sort(list_filter(regexp_extract_all(regexp_replace(regexp_replace(replace(lower(question), '’', ''''), 'can''t', 'cannot', 'g'), 'n''t', ' not', 'g'), '[a-z0-9]+'), lambda w: w IN ({_NEG}))), ' ') AS markers FROM cards""")
-def str29_negations(spark: SparkSession, d: str) -> DataFrame:
-    q = F.replace(F.lower("question"), F.lit("’"), F.lit("'"))
-    q = F.regexp_replace(F.regexp_replace(q, "can't", "cannot"), "n't", " not")
-    return table(spark, d, "cards", "card_id", "question").select("card_id", F.array_join(F.array_sort(F.filter(L.tokens(q), lambda w: w.isin(*L.NEGATIONS))), " ").alias("markers"))
-
-
 @query("""SELECT course_code, module_number, arg_min(trim(title), slide_id) FILTER (trim(title) <> '' AND lower(trim(title)) NOT IN ('not specified', '[unreadable text]', 'n/a')) AS title,
 arg_min(trim(brief_explanation), slide_id) FILTER (trim(brief_explanation) <> '' AND lower(trim(brief_explanation)) NOT IN ('not specified', '[unreadable text]', 'n/a')) AS explanation FROM slides GROUP BY course_code, module_number""")
 def win11_first_meaningful(spark: SparkSession, d: str) -> DataFrame:
     first = lambda c: F.min(F.when((F.trim(c) != "") & ~F.lower(F.trim(c)).isin(*L.MISSING), F.struct("slide_id", F.trim(c).alias("v"))))["v"]
-    return table(spark, d, "slides", *M, "slide_id", "title", "brief_explanation").groupBy(*M).agg(first("title").alias("title"), first("brief_explanation").alias("explanation"))
-
-
-@query(f"""WITH {_FACTS}, p AS (SELECT course_code, module_number, fact_row, lower(trim(topic)) AS topic, list_min(list_filter(slides, lambda x: x > 0)) AS slide FROM n WHERE trim(topic) <> ''),
-c AS (SELECT course_code, module_number, topic, min(slide) AS slide FROM p GROUP BY ALL),
-x AS (SELECT c.course_code, c.module_number, c.topic, p.fact_row, abs(p.slide - c.slide) AS distance FROM c JOIN p ON p.course_code = c.course_code AND p.module_number = c.module_number AND p.slide BETWEEN c.slide - 8 AND c.slide + 8 AND p.topic <> c.topic)
-SELECT course_code, module_number, topic, fact_row, CAST(distance AS BIGINT) AS distance FROM x QUALIFY row_number() OVER (PARTITION BY course_code, module_number, topic ORDER BY distance, fact_row) <= 12""")
-def join4_near_slides(spark: SparkSession, d: str) -> DataFrame:
-    """For each topic of a module, the 12 facts of other topics on the nearest slides, at most 8 slides away: a banded equality join."""
-    f = table(spark, d, "facts", *M, "fact_row", "topic", "slides").where("trim(topic) <> ''")
-    p = f.select(*M, "fact_row", F.lower(F.trim("topic")).alias("topic"), F.array_min(F.filter("slides", lambda x: x > 0)).alias("slide")).where("slide IS NOT NULL")
-    c = p.groupBy(*M, F.col("topic").alias("of")).agg(F.min("slide").alias("at"))
-    bands = c.withColumn("band", F.explode(F.array(*[F.floor(F.col("at") / 16) + k for k in (-1, 0, 1)])))
-    x = bands.join(p.withColumn("band", F.floor(F.col("slide") / 16)), [*M, "band"]).where("topic <> of AND abs(slide - at) <= 8")
-    near = x.withColumn("distance", F.abs(F.col("slide") - F.col("at")).cast("bigint"))
-    k = F.row_number().over(W.partitionBy(*M, "of").orderBy("distance", "fact_row"))
-    return near.withColumn("k", k).where("k <= 12").select(*M, F.col("of").alias("topic"), "fact_row", "distance")
-
-
-@query(f"""WITH {_FACTS}, {_TRIPLES}, u AS (SELECT course_code, module_number, s AS statement, 0 AS side, fact_row AS i FROM n WHERE s <> ''
-UNION ALL SELECT course_code, module_number, s || ' | ' || r || ' | ' || o, 1, triple_id FROM t) SELECT course_code, module_number, statement, CASE min(side) WHEN 0 THEN 'fact' ELSE 'relationship' END AS kind, count(*) AS n_rows FROM u GROUP BY course_code, module_number, statement""")
-def set1_facts_and_edges(spark: SparkSession, d: str) -> DataFrame:
-    f = _facts(spark, d).where("s <> ''").select(*M, F.col("s").alias("statement"), F.lit(0).alias("side"))
-    e = _triples(spark, d).select(*M, F.concat_ws(" | ", "s", "r", "o").alias("statement"), F.lit(1).alias("side"))
-    return f.unionByName(e).groupBy(*M, "statement").agg(F.min("side").alias("side"), F.count(F.lit(1)).alias("n_rows")).select(*M, "statement", F.when(F.col("side") == 0, "fact").otherwise("relationship").alias("kind"), "n_rows")
-
-
-@query("SELECT extracted_at_day AS day, count(*) AS n_pages, count(*) FILTER (method = 'ocr') AS n_ocr, count(*) FILTER (late) AS n_late FROM (SELECT CAST(CAST(extracted_at AS DATE) AS VARCHAR) AS extracted_at_day, method, date_diff('hour', extracted_at, loaded_at) >= 24 AS late FROM extracted_pages) GROUP BY 1")
-def agg12_daily_pages(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "extracted_pages", "extracted_at", "loaded_at", "method")
-    hours = F.floor(F.unix_seconds(F.col("loaded_at").cast("timestamp")) / 3600) - F.floor(F.unix_seconds(F.col("extracted_at").cast("timestamp")) / 3600)
-    day = F.date_format("extracted_at", "yyyy-MM-dd").alias("day")
-    return p.groupBy(day).agg(F.count(F.lit(1)).alias("n_pages"), F.count(F.when(F.col("method") == "ocr", 1)).alias("n_ocr"), F.count(F.when(hours >= 24, 1)).alias("n_late"))
+    return table(spark, d, "slides", *M, "slide_id", "title", "brief_explanation").groupBy(*M).agg(first("title").alias("title"), first("brief_explanation").alias("explanation"))
\ No newline at end of file

@@ -41,5 +41,9 @@ def test_query(spark, duck, name):
     assert got == Counter(tuple(plain(r[k]) for k in at) for r in res.fetchall())
 
 
+#: Longest matching blocks of two texts have no SQL; test_folding compares with a plain fold.
+WITHOUT_SQL = {"join9_fact_fold"}
+
+
 def test_every_query_has_sql():
-    assert set(registry.SQL) == set(registry.QUERIES)
+    assert set(registry.SQL) | WITHOUT_SQL == set(registry.QUERIES)
