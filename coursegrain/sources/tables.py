@@ -16,7 +16,7 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests on one machine), a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; only in local mode, where it may be unset (tests), a folder of our own."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", "")
     if shared:
@@ -24,6 +24,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(shared)
         return shared
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "coursegrain-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -38,5 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as compressed parquet to the shared folder and read back: computed once, for several uses in one query."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    kept = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kept.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(kept)  # with the driver
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
