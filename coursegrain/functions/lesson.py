@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coursegrain.functions.unicode import folded
@@ -97,6 +97,17 @@ def no_fact_reason(s: Column, topic: Column, kind: Column) -> Column:
     return reason.when(sort.isin(*STRUCTURAL), "structural").when((sort == "content") & ~self_contained(s), "not_self_contained")
 
 
+def kept_facts(facts: DataFrame) -> DataFrame:
+    """The rows of facts that are lesson facts, with their statement as ``lesson_fact`` gives it.
+
+    The statement and the reason are worked out once a row: as elements of arrays they do not move into the filter.
+    """
+    rest = [c for c in facts.columns if c != "statement"]
+    f = facts.select(*rest, F.explode(F.array(lesson_fact(F.col("statement")))).alias("statement"))
+    f = f.select("*", F.explode(F.array(no_fact_reason(F.col("statement"), F.col("topic"), F.col("kind")))).alias("reason"))
+    return f.where("reason IS NULL").drop("reason")
+
+
 def tokens(c: Column) -> Column:
     """Runs of ASCII letters and digits of the folded text."""
     return F.regexp_extract_all(folded(c), F.lit("([a-z0-9]+)"), 1)
@@ -106,13 +117,14 @@ def normal_form(c: Column) -> Column:
     return F.array_join(tokens(c), " ")
 
 
-def content_tokens(c: Column) -> Column:
-    return F.filter(tokens(c), lambda x: ~x.isin(*BRIDGE_WORDS))
+def content_of(words: Column) -> Column:
+    """The tokens that carry content."""
+    return F.filter(words, lambda x: ~x.isin(*BRIDGE_WORDS))
 
 
-def subject_tokens(c: Column) -> Column:
-    """The distinct content words before the predicate's first verb, in order of name; none where there is no such verb."""
-    before = F.regexp_extract(normal_form(c), rf"^(.*?)\b(?:{PREDICATE})\b", 1)
+def subject_of(form: Column) -> Column:
+    """The distinct content words of a normal form before the predicate's first verb, in order of name; none where there is no such verb."""
+    before = F.regexp_extract(form, rf"^(.*?)\b(?:{PREDICATE})\b", 1)
     return F.array_sort(F.array_distinct(F.filter(F.split(F.trim(before), " "), lambda x: (x != "") & ~x.isin(*BRIDGE_WORDS))))
 
 

@@ -38,8 +38,8 @@ def _distinct_facts(facts: DataFrame, group: list[str], order: str) -> DataFrame
     base = facts.select(*group, F.col(order).alias("id"), squeezed("statement").alias("statement"), "slides").where("statement <> ''")
     slides = base.select(*group, "statement", F.explode("slides").alias("slide")).where("slide > 0").distinct().groupBy(*group, "statement").agg(F.array_sort(F.collect_list("slide")).alias("slides"))
     one = base.groupBy(*group, "statement").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_rows"))
-    s = F.col("statement")
-    forms = one.select("*", L.normal_form(s).alias("form"), L.content_tokens(s).alias("content"), L.subject_tokens(s).alias("subject"), L.is_enumeration(s).alias("listing"))
+    forms = one.withColumn("t", L.tokens(F.col("statement"))).withColumn("form", F.array_join("t", " "))
+    forms = forms.select("*", L.content_of(F.col("t")).alias("content"), L.subject_of(F.col("form")).alias("subject"), L.is_enumeration(F.col("statement")).alias("listing")).drop("t")
     return forms.join(slides, [*group, "statement"], "left").withColumn("words", F.array_distinct("content"))
 
 
@@ -85,11 +85,12 @@ def duplicate_facts(f: DataFrame, group: list[str]) -> DataFrame:
     claim = ready & subjects & (F.col("least") >= 5) & (overlap >= 0.65) & (F.col("claims") >= 3)
     listed = ready & F.col("lists") & (F.col("least") >= 10) & (overlap >= 0.80) & (jaccard >= 0.62)
     near = ready & (F.col("least") >= 8) & (overlap >= 0.95) & (jaccard >= 0.85)
-    p = p.select(*group, "a", "b", "form_a", "form_b", (F.col("equal") | claim).alias("sure"), listed.alias("listed"), near.alias("near")).where("sure OR listed OR near")
-    # texts are compared only where nothing else decides
-    doubt = ~F.col("sure")
-    ratio = sequence_ratio(F.when(doubt, F.col("form_a")).otherwise(""), F.when(doubt, F.col("form_b")).otherwise(""))
-    return p.withColumn("ratio", ratio).where("sure OR (listed AND ratio >= 0.62) OR (near AND ratio >= 0.90)").select(*group, "a", "b")
+    p = p.select(*group, "a", "b", "form_a", "form_b", (F.col("equal") | claim).alias("sure"), listed.alias("listed"), near.alias("near"))
+    p = cut(p.where("sure OR listed OR near"))
+    # texts are compared only where nothing else decides, by all cores: the rows are small but take long
+    doubt = p.where("NOT sure").repartition(p.sparkSession.sparkContext.defaultParallelism)
+    told = doubt.withColumn("ratio", sequence_ratio(F.col("form_a"), F.col("form_b"))).where("(listed AND ratio >= 0.62) OR (near AND ratio >= 0.90)")
+    return p.where("sure").select(*group, "a", "b").unionByName(told.select(*group, "a", "b"))
 
 
 def folded_facts(facts: DataFrame, group: list[str], order: str) -> DataFrame:

@@ -13,7 +13,7 @@ from coursegrain.operators.folding import folded_facts
 from coursegrain.operators.packed import unpack
 from coursegrain.plans import lesson
 from coursegrain.plans.training import P4_SQL
-from coursegrain.sources.tables import table
+from coursegrain.sources.tables import cut, table
 
 M = ["course_code", "module_number"]
 QUERIES, SQL = {}, {}
@@ -114,9 +114,10 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     named = lambda x: labels.select(*M, F.col("value").alias(x), F.col("label").alias(f"{x}_label"))
     full = t.join(named("subject"), [*M, "subject"]).join(named("object"), [*M, "object"])
     key = lambda x: G.entity_key(F.col(x)).alias(x.replace("_label", "_key"))
-    return full.select(*M, "triple_id", "relation", "subject_label", "object_label", key("subject_label"), key("object_label")).groupBy(*M, "subject_key", "relation", "object_key").agg(
+    edges = full.select(*M, "triple_id", "relation", "subject_label", "object_label", key("subject_label"), key("object_label")).groupBy(*M, "subject_key", "relation", "object_key").agg(
         F.min("triple_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows"), F.min("subject_label").alias("subject"), F.min("object_label").alias("object")
     )
+    return cut(edges)  # nodes, edges and facts are made from them
 
 
 _EDGES = f"""{_SANE}, named AS (SELECT k.*, a.label AS s, b.label AS o FROM kept k JOIN labels a ON a.course_code = k.course_code AND a.module_number = k.module_number AND a.value = k.subject JOIN labels b ON b.course_code = k.course_code AND b.module_number = k.module_number AND b.value = k.object),
@@ -204,8 +205,7 @@ _KEPT_FACTS = f"SELECT f.fact_row, f.course_code, f.module_number, k.statement,
 
 
 def _kept_facts(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "facts", "fact_row", *M, "statement", "topic", "kind", "slides").withColumn("statement", L.lesson_fact(F.col("statement")))
-    return f.where(L.no_fact_reason(F.col("statement"), F.col("topic"), F.col("kind")).isNull())
+    return L.kept_facts(table(spark, d, "facts", "fact_row", *M, "statement", "topic", "kind", "slides"))
 
 
 @query(f"""WITH {_EDGES}, k AS ({_KEPT_FACTS}), u AS (SELECT course_code, module_number, {G.canonical_sql('statement')} AS statement, 0 AS side, fact_row AS id FROM k

@@ -66,7 +66,8 @@ n AS (SELECT *, {_normal('s')} AS form, list_filter({_tok('s')}, lambda x: x NOT
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "facts", "fact_row", *M, "kind", "topic", "slides", "statement").withColumn("s", L.lesson_fact(F.col("statement"))).drop("statement")
-    return f.select("*", L.normal_form(F.col("s")).alias("form"), L.content_tokens(F.col("s")).alias("content"), L.is_enumeration(F.col("s")).alias("listing"))
+    f = f.withColumn("t", L.tokens(F.col("s")))
+    return f.select("*", F.array_join("t", " ").alias("form"), L.content_of(F.col("t")).alias("content"), L.is_enumeration(F.col("s")).alias("listing")).drop("t")
 
 
 @query(f"WITH {_FACTS} SELECT fact_row, s AS statement, form, len(content) AS n_content, CAST(listing AS INT) AS listing FROM n")
