@@ -26,12 +26,12 @@ BITS, FLOOR = 18, 1e-5
 #: Share of all characters by which the counts of natural prose are smoothed, the uses that it stands for at least (a few uses are no
 #: evidence of prose in a small corpus either), and how many times that each natural example counts.
 RARE, FEW, EXAMPLE = 7e-5, 20, 6
-WINDOW, THRESHOLD, COVER = 28, 6.0, 8
+WINDOW, THRESHOLD, COVER = 28, 6.5, 8
 #: Characters that are scored at once (a longer text alone).
 TOGETHER = 1 << 18
 
 #: What is to be filled in, the marks that writers and programs put around it, and the lines it stands in.
-SLOTS = "name|full name|first name|user name|email|phone|address|city|company|date|time|title|subject|author|teacher|instructor|student|course|course code|module|unit|lesson|chapter|topic|concept|definition|example|answer|question|link|url|image|price|amount|number|page|grade|deadline|room|term|goal|summary|body|text|party|buyer|seller|sender|recipient|customer|client|speaker|department|school|location|venue|position|role|state|country|total|currency|version|product|project|manager|event|host|guest|group|week|day|month|year|reason|note|signature|order number|id|code|number of pages|office|web site|keyword|reference|source".split("|")
+SLOTS = "name|full name|first name|user name|email|phone|address|city|company|date|time|title|subject|author|teacher|instructor|student|course|course code|module|unit|lesson|chapter|topic|concept|definition|example|answer|question|link|url|image|price|amount|number|page|grade|deadline|room|term|goal|summary|body|text|party|buyer|seller|sender|recipient|customer|client|speaker|department|school|location|venue|position|role|state|country|total|currency|version|product|project|manager|event|host|guest|group|week|day|month|year|reason|note|signature|order number|id|code|number of pages|office|web site|keyword|reference|source|due date|office hours|slide number|learning outcome|learning goal|reading list|homework|exam date|classroom|credits|contact person|start date|end date|file name|table number".split("|")
 MARKS = "{{%s}}|{{ %s }}|{%s}|{{{%s}}}|${%s}|<%%= %s %%>|{%% %s %%}|<%s>|<<%s>>|[%s]|[[%s]]|[your %s here]|[insert %s]|[enter %s]|[add %s here]|[%s goes here]|<insert %s here>|<your %s>|(%s to follow)|(insert %s here)|(your %s)|TODO: %s|TODO add the %s|TBD %s|[TBD: %s]|%%%s%%|__%s__|##%s##|@@%s@@|$%s$|*|%s|*|XXX %s XXX|FIXME %s|[%s to come]|[%s missing]|[%s to be added]|[%s to be filled out]|[fill in %s]|(fill in the %s)|(add %s)|(type the %s)|(enter the %s)|[%s TBD]|XX %s|XXX".replace("*|%s|*", "*%s*").split("|")
 LINES = "Dear %s, thank you for %s.|Hello %s,|Welcome to %s!|%s|%s %s|By %s on %s|Due: %s|Taught by %s, %s|Questions? Write to %s.|This agreement is between %s and %s.|Signed by %s for %s|In %s we look at %s.|A %s is %s.|%s: %s|- %s\n- %s|See %s for more.|Objectives: %s; %s|Copyright %s %s".split("|")
 
@@ -80,7 +80,7 @@ def filler() -> list[str]:
 #: Notices that something could not be had: what, what is wrong with it, and what to do.
 STATUS = "400 Bad Request|401 Unauthorized|402 Payment Required|403 Forbidden|404 Not Found|405 Method Not Allowed|406 Not Acceptable|408 Request Timeout|409 Conflict|410 Gone|413 Payload Too Large|429 Too Many Requests|500 Internal Server Error|501 Not Implemented|502 Bad Gateway|503 Service Unavailable|504 Gateway Timeout".split("|")
 WHAT = "page|site|server|service|resource|file|document|request|session|connection|link|address|content|video|lesson|course|module|deck|slide|quiz|upload|URL|account|item|database|application".split("|")
-WRONG = "was not found|could not be found|cannot be found|does not exist|no longer exists|has been moved|was removed|is unavailable|is currently unavailable|is temporarily unavailable|is not available|is missing|is gone|has expired|timed out|did not respond|failed to load|could not be loaded|cannot be displayed|cannot be opened|could not be read|was refused|was rejected|is locked|is restricted|is blocked|is down for maintenance|is overloaded|is invalid|returned an error|was interrupted|was denied".split("|")
+WRONG = "was not found|could not be found|cannot be found|does not exist|no longer exists|has been moved|was removed|is unavailable|is currently unavailable|is temporarily unavailable|is not available|is missing|is gone|has expired|timed out|did not respond|failed to load|could not be loaded|cannot be displayed|cannot be opened|could not be read|was refused|was rejected|is locked|is restricted|is blocked|is down for maintenance|is overloaded|is invalid|returned an error|was interrupted|was denied|refused the request|refused to answer|rejected the upload".split("|")
 ADVICE = "Please try again.|Try again later.|Please try again in a few minutes.|Reload the page.|Refresh and try again.|Check the address.|Check your connection and try again.|Please contact support.|Contact the administrator if this goes on.|Go back to the home page.|Return to the start page.|Please log in again.|Sign in to continue.|Ask the owner for access.|Tap to retry.|Search the site instead.|We are working on it.|Sorry for the inconvenience.|We apologize for any trouble.|Wait a while and reload.".split("|")
 OPENERS = "|Sorry, |Sorry, the |Oops! The |Error: |Error: the |The |The requested |This |Your |Unable to load: the |Something went wrong: the |Notice: the |Warning: the |We are sorry, but the |Whoops, the ".split("|")
 MORE_ERRORS = """Something went wrong. An unexpected error occurred. An error has occurred while processing your request.
@@ -140,6 +140,7 @@ def scripts() -> list[str]:
 NATURAL = """A template engine replaces a placeholder such as {{ user }} by a value before the page is sent to the reader.
 In this template the mark {{ heading }} stands for what the program fills in later, and ${sum} is replaced in the same way.
 In the shell a variable is written ${path}; on another system it is %TEMP%, and a header is included as <math.h> in angle brackets.
+The angle brackets around <stdlib.h> and <string.h> tell the compiler where it has to look for the file.
 In the example the string ${price} is a variable of the shell, and the program prints its value; ${total} and ${count} are others. Such a string stands for a value.
 A list is written [1, 2, 3] and an index x[i] picks one of its items; a set is written {a, b}.
 A noscript element tells visitors without scripts what they miss; a screen reader treats it as any other element of the page.
@@ -150,8 +151,10 @@ Printers have used lorem ipsum as filler for centuries because its letters are s
 When a server does not find what was requested it answers with status 404; status 410 tells that a page is gone for good.
 Status 404 is the answer of a server when the requested page is not found, and a lesson on the web compares it with other codes of status.
 Learners see how a browser tells that a page was not found or that access was denied, and what the server wrote in its log at that time.
+Status 503 means that a server is overloaded, so a client waits for some seconds and sends its request again; the lesson shows how long it waits.
 The status 503 tells that a server is not available for a while; students compare it with 500, an error within the server, and 403, which means that access is refused.
 The message "permission denied" is shown when a user lacks a right, as the table of permission bits explains.
+The first two plans are rejected, and the third is accepted. We support the claim with a table of results.
 You do not have permission to enter the laboratory without a badge. The session in the afternoon was not available to visitors. The page of the book is missing.
 Reading a traceback begins at its last line, which names the exception that the program raised, and goes on to the line where it happened.
 An exception is handled where the program can do something about it; an error code that nobody reads is lost.
