@@ -21,9 +21,9 @@ def windows(df: DataFrame, keys: list[str], tokens: Column, size: int, overlap:
 def coverage_sample(df: DataFrame, group: list[str], bucket: str, order: str, limit: int) -> DataFrame:
     """At most ``limit`` rows a group, taken in turns from its buckets in the order in which they first appear."""
     in_bucket = W.partitionBy(*group, bucket)
-    turn = df.withColumn("_r", F.row_number().over(in_bucket.orderBy(order))).withColumn("_b", F.min(order).over(in_bucket))
-    # later turns than the limit can't be taken: what reaches the last window is bounded by buckets, not rows
-    picked = turn.where(F.col("_r") <= limit).withColumn("pick", F.row_number().over(W.partitionBy(*group).orderBy("_r", "_b")))
+    # later turns than the limit can't be taken, so a hot bucket is cut before it is shuffled; its first row is among those left
+    turn = df.withColumn("_r", F.row_number().over(in_bucket.orderBy(order))).where(F.col("_r") <= limit).withColumn("_b", F.min(order).over(in_bucket))
+    picked = turn.withColumn("pick", F.row_number().over(W.partitionBy(*group).orderBy("_r", "_b")))
     return picked.where(F.col("pick") <= limit).drop("_r", "_b")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursegrain.plans import cards, graph, lesson, tagged, training
+from coursegrain.plans import cards, checks, graph, lesson, tagged, training
 
-QUERIES = {k: q for m in (lesson, cards, graph, tagged, training) for k, q in m.QUERIES.items()}
-SQL = {k: q for m in (lesson, cards, graph, tagged, training) for k, q in m.SQL.items()}
+QUERIES = {k: q for m in (lesson, cards, graph, tagged, checks, training) for k, q in m.QUERIES.items()}
+SQL = {k: q for m in (lesson, cards, graph, tagged, checks, training) for k, q in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
