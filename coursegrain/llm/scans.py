@@ -259,17 +259,29 @@ def repaired(pages: DataFrame, slides: DataFrame) -> DataFrame:
     """
     items = pages.unionByName(slides)
     lines = _lines(items)
-    keys = ["item_table", "item_id", "line_no"]
-    edges = edge_lines(items).select(*keys).distinct().withColumn("drop", F.lit(True))
+    item, keys = ["item_table", "item_id"], ["item_table", "item_id", "line_no"]
+    none = F.array().cast("array<struct<word:string,variant:string>>")
     places = noisy_places(lines, _word_counts(lines)).groupBy(*keys).agg(
-        F.array_sort(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "variant")))).alias("fixes"), F.bool_or("hyphened").alias("hyphened")
-    )
-    hyphen = F.when(F.col("hyphened"), "-").otherwise("")
-    put = "aggregate(coalesce(fixes, cast(array() as array<struct<word:string,variant:string>>)), s, (t, f) -> regexp_replace(t, concat('(?iu)(?<![\\\\p{L}\\\\p{N}])\\\\Q', f.word, '\\\\E(?![\\\\p{L}\\\\p{N}])'), f.variant))"
-    flat = (
-        lines.dropDuplicates(keys).join(places, keys, "left").join(edges, keys, "left")
-        .select(*keys, "fixes", "drop", F.when(F.col("hyphened").isNotNull(), F.concat(F.regexp_replace("line", rf"[{HYPHENS}]\s*$", ""), hyphen)).otherwise(F.concat(F.regexp_replace(F.trim("line"), r"(?U)\s+", " "), F.lit(" "))).alias("s"), (F.trim("line") == "").alias("blank"))
-        .select(*keys, F.when(F.col("drop"), "").when(F.col("blank"), "\n").otherwise(F.expr(put)).alias("s"))
+        F.array_sort(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "variant")))).alias("fixes"), F.bool_or("hyphened").alias("hyphened"), F.lit(False).alias("edge")
     )
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]), "")
-    return flat.groupBy("item_table", "item_id").agg(F.trim(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), "^\n|[ \n]+$", "")).alias("text"))
+    edges = edge_lines(items).select(*keys).distinct().select(*keys, none.alias("fixes"), F.lit(None).cast("boolean").alias("hyphened"), F.lit(True).alias("edge"))
+    # what is known of an item's lines comes to the item, so each text is shuffled once; the lists are no longer than the text
+    known = places.unionByName(edges).groupBy(*item).agg(F.collect_set(F.when(F.col("edge"), F.col("line_no"))).alias("edges"), F.collect_list(F.when(~F.col("edge"), F.struct("line_no", F.struct("hyphened", "fixes")))).alias("noise"))
+    known = known.select(*item, "edges", F.map_from_entries("noise").alias("noise"))
+    full = items.select(*item, "lines").dropDuplicates(item).join(known, item, "left")
+
+    def put(text: Column, x: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), x["word"], F.lit(r"\E(?![\p{L}\p{N}])"))
+        return F.regexp_replace(text, pattern, x["variant"])
+
+    def mended(raw: Column, at: Column) -> Column:
+        number = (at + 1).cast("bigint")
+        noise = F.try_element_at("noise", number)
+        line = _bare(raw)
+        broken = F.concat(F.regexp_replace(line, rf"[{HYPHENS}]\s*$", ""), F.when(noise["hyphened"], "-").otherwise(""))
+        whole = F.concat(F.regexp_replace(F.trim(line), r"(?U)\s+", " "), F.lit(" "))
+        s = F.when(noise["hyphened"].isNotNull(), broken).otherwise(whole)
+        return F.when(F.coalesce(F.array_contains("edges", number), F.lit(False)), "").when(F.trim(line) == "", "\n").otherwise(F.aggregate(F.coalesce(noise["fixes"], none), s, put))
+
+    text = F.array_join(F.transform("lines", mended), "")
+    return full.select(*item, F.trim(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), "^\n|[ \n]+$", "")).alias("text"))
